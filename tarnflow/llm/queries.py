@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .packing import op1_packing
 from .quality import op5_quality
 from .sharding import op4_sharding
 from .toxicity import op7_toxicity
 from .warc import op10_warc
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op7_toxicity": op7_toxicity,

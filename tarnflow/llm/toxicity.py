@@ -52,15 +52,18 @@ def distinctive(own: list[str], other: list[str]) -> list[str]:
     n, m = len(own), len(other)
     if not n or not m:
         return []
-    sets = [_beginnings(t) for t in own]
     here: Counter = Counter()
-    for s in sets:
-        here.update(s)
+    for t in own:
+        here.update(_beginnings(t))
     here = Counter({k: c for k, c in here.items() if c >= max(2, LEAST_SHARE * n)})
     there: Counter = Counter()
     for t in other:
         there.update(k for k in _beginnings(t) if k in here)
-    rest = {k: {i for i, s in enumerate(sets) if k in s} for k, c in here.items() if c / n > LEAST_LIFT * (there[k] + 0.5) / m and _ratio(c, there[k], n, m) > LEAST_RATIO}
+    rest: dict[str, set[int]] = {k: set() for k, c in here.items() if c / n > LEAST_LIFT * (there[k] + 0.5) / m and _ratio(c, there[k], n, m) > LEAST_RATIO}
+    for i, t in enumerate(own):  # texts are read again rather than all their beginnings held
+        for k in _beginnings(t):
+            if k in rest:
+                rest[k].add(i)
     chosen, cover = [], Counter()
     while rest:
         best = max(rest, key=lambda k: (_ratio(len(rest[k]), there[k], n, m), k))
