@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fingerprint import op6_fingerprint
 from .packing import op1_packing
 from .quality import op5_quality
 from .sharding import op4_sharding
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op6_fingerprint": op6_fingerprint,
     "op7_toxicity": op7_toxicity,
     "op10_warc": op10_warc,
 }
