@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fingerprint import op6_fingerprint
 from .packing import op1_packing
 from .quality import op5_quality
+from .quotes import op8_quotes
 from .sharding import op4_sharding
 from .toxicity import op7_toxicity
 from .warc import op10_warc
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_fingerprint": op6_fingerprint,
     "op7_toxicity": op7_toxicity,
+    "op8_quotes": op8_quotes,
     "op10_warc": op10_warc,
 }
 
