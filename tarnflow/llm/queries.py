@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op2_decontamination
 from .fingerprint import op6_fingerprint
 from .packing import op1_packing
 from .quality import op5_quality
@@ -12,6 +13,7 @@ from .warc import op10_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_decontamination": op2_decontamination,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_fingerprint": op6_fingerprint,
