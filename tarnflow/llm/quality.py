@@ -26,7 +26,7 @@ def statistics(text: Column) -> dict[str, Column]:
     """The statistics that rules speak of; shares are of characters, words or lines, 0 for an empty text."""
     t = F.coalesce(text, F.lit(""))
     chars = F.greatest(F.length(t), F.lit(1)).cast("double")
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.translate(t, "\n\t\r", "   "), " "), lambda w: w != "")
     n = F.greatest(F.size(words), F.lit(1)).cast("double")
     lines = F.filter(F.split(t, "\n"), lambda x: x != "")
     m = F.greatest(F.size(lines), F.lit(1)).cast("double")
@@ -49,8 +49,6 @@ def statistics(text: Column) -> dict[str, Column]:
         "breaks": without("\n"),
         "wide": (F.octet_length(t) - F.length(t)) / chars,
         "longest_word": F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0)).cast("double"),
-        "short_words": F.size(F.filter(words, lambda w: F.length(w) <= 3)) / n,
-        "repeats": F.lit(1.0) - F.size(F.array_distinct(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)))) / n,
     }
 
 
