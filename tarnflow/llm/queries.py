@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op2_decontamination
 from .fingerprint import op6_fingerprint
+from .jaccard import op9_jaccard
 from .packing import op1_packing
 from .quality import op5_quality
 from .quotes import op8_quotes
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_fingerprint": op6_fingerprint,
     "op7_toxicity": op7_toxicity,
     "op8_quotes": op8_quotes,
+    "op9_jaccard": op9_jaccard,
     "op10_warc": op10_warc,
 }
 
