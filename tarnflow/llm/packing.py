@@ -12,6 +12,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as packed
 
 import numpy as np
 import pandas as pd
@@ -23,32 +24,44 @@ from .common import materialise, table
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a worker keeps; pieces of one length that one task ranks.
-CACHE_WORDS, RANK_ROWS = 250_000, 20_000
+CACHE_WORDS, RANK_ROWS = 400_000, 2_000
 
 
 class _Words(dict):
     """Ids, as little-endian bytes, of the strings between blanks: the tokenizer never joins across a blank."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        held = Tokenizer.from_file(path)
+        self.encode, self.merge = held.encode, held.model.tokenize
+        #: How byte-level models spell the letters below U+0100, which no normalisation changes but for their case.
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {i: spell(chr(i))[0][0] for i in range(170, 256)}
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ",." and word[:-1].isalpha() and word.isascii():
-            ids = self[word[:-1].lower()] + self[word[-1]]
-        elif word.isascii() and word.isalpha() and not word.islower():
-            ids = self[word.lower()]
-        else:
-            ids = np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
+        ids = self[word] = np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return ids
+
+    def learn(self, words: set[str]) -> None:
+        """Adds what is new; of a word of plain letters, with or without a stop or comma, only the model's merges run."""
+        if len(self) > CACHE_WORDS:
             self.clear()
             self[""] = b""
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+        known = self.keys()
+        for w in words - known:
+            stem = w[:-1] if w[-1] in ",." else w
+            if not stem.isalpha() or max(stem) > "\xff":
+                continue
+            low = stem.lower()
+            if low not in known:
+                spelt = low if low.isascii() else low.translate(self.spelling)
+                ids = [t.id for t in self.merge(spelt)]
+                self[low] = packed(f"<{len(ids)}I", *ids)
+            if w is not low:
+                self[w] = self[low] if stem is w else self[low] + self[w[-1]]
 
 
 @lru_cache(maxsize=2)
@@ -56,9 +69,24 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
-def token_bytes(text: str, path: str) -> bytes:
-    """The ids of a whole text, four little-endian bytes each."""
-    return b"".join(map(_words(path).__getitem__, text.replace("\n", " ").split(" ")))
+def token_bytes(texts: list[str], path: str) -> list[bytes]:
+    """The ids of each whole text, four little-endian bytes an id."""
+    held = _words(path)
+    parts = [t.replace("\n", " ").split(" ") for t in texts]
+    held.learn(set().union(*parts))
+    return [b"".join(map(held.__getitem__, p)) for p in parts]
+
+
+def _all_ids(texts: pa.Array, path: str, together: int = 2 << 20) -> Iterator[bytes]:
+    """The ids of each text, a few MB of text at a time."""
+    held, weight = [], 0
+    for t in texts:
+        held.append(t.as_py() or "")
+        weight += len(held[-1])
+        if weight > together:
+            yield from token_bytes(held, path)
+            held, weight = [], 0
+    yield from token_bytes(held, path)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -71,8 +99,8 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:
             out = defaultdict(list)
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = token_bytes(text.as_py() or "", path) + end
+            for doc, ids in zip(b.column(0).to_pylist(), _all_ids(b.column(1), path), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for k, v in zip(("doc_id", "piece", "start", "length", "ids_crc32"), (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
