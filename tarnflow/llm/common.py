@@ -77,3 +77,11 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the context cleaner remove the shuffle files of plans that nothing holds any more, between long phases."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

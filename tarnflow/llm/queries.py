@@ -9,12 +9,14 @@ from .packing import op1_packing
 from .quality import op5_quality
 from .quotes import op8_quotes
 from .sharding import op4_sharding
+from .substrings import op3_substrings
 from .toxicity import op7_toxicity
 from .warc import op10_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
+    "op3_substrings": op3_substrings,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_fingerprint": op6_fingerprint,
