@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,46 +103,43 @@ def collection_bwt(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     for i, t in enumerate(texts):
         column[: len(t), i] = code[np.frombuffer(t, np.uint8)[::-1]]
     bwt, common = column[0].copy(), np.zeros(n, np.uint8)
-    fresh = np.ones(n, bool)
-    owner = np.arange(n)
+    # the rows put in by the last round, ascending, and whose they are
+    fresh, rows, owner = np.ones(n, bool), np.arange(n), np.arange(n)
     for j in range(longest):
-        ended = int(np.count_nonzero(bwt == 0))
-        order = np.argsort(bwt, kind="stable")[ended:]
+        order = np.argsort(bwt, kind="stable")[int(np.count_nonzero(bwt == 0)) :]
         added = fresh[order]
         at = np.flatnonzero(added)
-        who = owner[order[at]]
+        kept = ~added
+        owner = owner[np.searchsorted(rows, order[at])]
+        rows = n + at
         total = n + len(order)
-        grown = np.empty(total, kind)
+        grown, prefix = np.empty(total, kind), np.zeros(total, np.uint8)
         grown[:n] = bwt[:n]
-        body = grown[n:]
-        body[~added] = bwt[n:]
-        body[at] = column[j + 1][who]
-        prefix = np.zeros(total, np.uint8)
+        grown[n:][kept] = bwt[n:]
+        grown[rows] = column[j + 1][owner]
         tail = prefix[n:]
-        tail[~added] = common[n:]
+        tail[kept] = common[n:]
         # a new row and the one after it: one more than the least common prefix between the rows they extend
-        touched = np.unique(np.concatenate([at, at[at + 1 < len(order)] + 1]))
-        above = touched[touched > 0]
-        same = bwt[order[above]] == bwt[order[above - 1]]
-        tail[touched] = 0
-        above = above[same]
-        low, high = order[above - 1] + 1, order[above]
-        span = high - low + 1
-        level, step = common, 1
-        left = np.ones(len(above), bool)
-        while left.any():
-            here = left & (span < 2 * step)
-            got = np.minimum(level[low[here]], level[high[here] - step + 1])
-            tail[above[here]] = np.minimum(got, 254) + 1
-            left &= ~here
-            if left.any():
-                level = np.minimum(level[:-step], level[step:])
-                step *= 2
+        above = np.concatenate([at, at + 1])
+        above = above[(above > 0) & (above < len(order))]
+        low, high = order[above - 1], order[above]
+        same = bwt[low] == bwt[high]
+        tail[above[~same]] = 0
+        above, low, high = above[same], low[same] + 1, high[same]
+        size_of = np.frexp((high - low + 1).astype(np.float64))[1] - 1
+        by = np.argsort(size_of, kind="stable")
+        above, low, high = above[by], low[by], high[by]
+        cuts = np.searchsorted(size_of[by], np.arange(int(size_of.max(initial=-1)) + 2))
+        level = common
+        for k in range(len(cuts) - 1):
+            if cuts[k] < cuts[k + 1]:
+                part = slice(cuts[k], cuts[k + 1])
+                tail[above[part]] = np.minimum(np.minimum(level[low[part]], level[high[part] - (1 << k) + 1]), 254) + 1
+            if k + 2 < len(cuts):
+                level = np.minimum(level[: -(1 << k)], level[1 << k :])
         bwt, common = grown, prefix
         fresh = np.zeros(total, bool)
-        fresh[n + at] = True
-        owner = np.zeros(total, np.int64)
-        owner[n + at] = who
+        fresh[rows] = True
     follow = np.full(len(bwt), -1)
     order = np.argsort(bwt, kind="stable")[int(np.count_nonzero(bwt == 0)) :]
     follow[order] = n + np.arange(len(order))
@@ -171,7 +168,7 @@ def repeated_windows(texts: list[bytes], doc: np.ndarray, tie: np.ndarray, first
 
 
 #: Distinct segments of one k-mer beyond which they are compared window by window; bytes of segments in one collection.
-MANY, BUCKET_BYTES = 3000, 384 << 10
+MANY, BUCKET_BYTES = 3000, 192 << 10
 _WHERE = "doc long, tie long"
 _SPAN = _WHERE + ", start long, stop long"
 _span_schema = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
@@ -181,33 +178,39 @@ def _batches(parts: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*parts, strict=True)], names=names)
 
 
-def _emit(width: int, kmer: int, whole: bool):
-    """K-mers with counts, or every segment as (mer, seg, doc, tie, start, windows)."""
+_SEGMENT = f"mer long, seg long, {_WHERE}, start long, windows long, later boolean"
+
+
+def _emit(width: int, kmer: int, together: int = 200_000):
+    """Every segment. One that occurs before in the rows sent together is marked as later and gets a k-mer of its own,
+    so that a text that very many documents hold does not make a heavy key."""
+
+    def done(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        mer, seg, doc, tie, start, windows = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((start, tie, doc, seg, mer))
+        same = (mer[order][1:] == mer[order][:-1]) & (seg[order][1:] == seg[order][:-1])
+        later = np.zeros(len(mer), bool)
+        later[order[1:]] = same
+        mer[later] = _mix((doc[later] + tie[later] + (start[later] << 20)).view(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (mer, seg, doc, tie, start, windows, later)], names=["mer", "seg", "doc", "tie", "start", "windows", "later"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for b in batches:
-            parts, held = [], 0
             for i, (doc, tie) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 mer, seg, first, windows = segments(b.column(2)[i].as_py() or b"", width, kmer)
                 if len(mer):
-                    parts.append([mer, seg, np.full(len(mer), doc), np.full(len(mer), tie), first, windows] if whole else [mer])
+                    parts.append([mer, seg, np.full(len(mer), doc), np.full(len(mer), tie), first, windows])
                     held += len(mer)
-                if held > 200_000:
-                    yield _done(parts, whole)
+                if held > together:
+                    yield done(parts)
                     parts, held = [], 0
-            if parts:
-                yield _done(parts, whole)
+        if parts:
+            yield done(parts)
 
     return run
 
 
-def _done(parts: list, whole: bool) -> pa.RecordBatch:
-    if whole:
-        return _batches(parts, ["mer", "seg", "doc", "tie", "start", "windows"])
-    mer, n = np.unique(np.concatenate([p[0] for p in parts]), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(mer), pa.array(n)], names=["mer", "n"])
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each segment that a document's row names."""
     for b in batches:
@@ -284,16 +287,16 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH, kmer: int = KMER) -> Da
     """
     spark = docs.sparkSession
     emitted = docs.select("doc", "tie", "data")
-    counts = emitted.mapInArrow(_emit(width, kmer, False), "mer long, n long").groupBy("mer").agg(F.sum("n").alias("n")).where("n > 1")
-    repeated = materialise(spark, counts.select("mer"), "substring-mers")
-    every = emitted.mapInArrow(_emit(width, kmer, True), f"mer long, seg long, {_WHERE}, start long, windows long")
-    found = materialise(spark, every.join(repeated.hint("shuffle_hash"), "mer", "left_semi"), "substring-candidates")
+    every = emitted.mapInArrow(_emit(width, kmer), _SEGMENT)
+    alike = every.withColumn("n", F.count("*").over(Window.partitionBy("mer"))).where("n > 1 or later").drop("n")
+    found = materialise(spark, alike, "substring-candidates")
     release(spark)
     # equal segments: all but the first are repeated whole
-    kept = found.groupBy("mer", "seg").agg(F.min(F.struct("doc", "tie", "start")).alias("one"), F.first("windows").alias("windows"), F.count("*").alias("n"))
+    kept = found.where("not later").groupBy("mer", "seg").agg(F.min(F.struct("doc", "tie", "start")).alias("one"), F.first("windows").alias("windows"), F.count("*").alias("n"))
     kept = materialise(spark, kept.select("mer", "seg", "one.*", "windows", "n"), "substring-segments")
     firsts = kept.where("n > 1").select("mer", "seg", F.col("doc").alias("doc1"), F.col("tie").alias("tie1"), F.col("start").alias("start1"))
-    later = found.join(firsts.hint("shuffle_hash"), ["mer", "seg"]).where("doc <> doc1 or tie <> tie1 or start <> start1")
+    later = found.where("not later").join(firsts.hint("shuffle_hash"), ["mer", "seg"]).where("doc <> doc1 or tie <> tie1 or start <> start1")
+    later = later.select("doc", "tie", "start", "windows").union(found.where("later").select("doc", "tie", "start", "windows"))
     spans = materialise(spark, later.select("doc", "tie", "start", (F.col("start") + F.col("windows") + width - 1).alias("stop")), "substring-later")
     # segments that share a k-mer with another: cut from their documents and sorted
     many = kept.groupBy("mer").count().where("count > 1")
