@@ -1,4 +1,4 @@
 """Every query of the library with its SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import certificate_queries, metric_queries, occurrence_queries, rollup_queries  # noqa: F401
+from .occurrence_queries import ORACLE_SQL, QUERIES  # noqa: F401
