@@ -234,3 +234,10 @@ def evenly_spaced(df: DataFrame, order: str, k: int, key: str) -> DataFrame:
     step = (F.col("_n") - 1) / F.lit(float(k - 1))
     picked = F.exists(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.rint(j * step) == F.col("_i"))
     return rows.where(picked).drop("_i", "_n")
+
+
+def nearest_planar(df: DataFrame, focal: DataFrame, keys: Sequence[str], x: str, y: str, identity: str) -> DataFrame:
+    """(identity, distance): to the nearest focal point of the same key, within keys' small tables of points."""
+    near = focal.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).distinct()
+    d = F.sqrt((F.col(x) - F.col("_x")) ** 2 + (F.col(y) - F.col("_y")) ** 2)
+    return df.join(near, list(keys)).groupBy(identity).agg(F.min(d).alias("distance"))
