@@ -23,12 +23,16 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+#: Added before rounding, far below the last digit kept, so that exact halves round alike whatever the order of a sum.
+_NUDGE = 1e-12
+
+
 def r(expression: str, alias: str, digits: int = 9) -> str:
-    return f"round(CAST({expression} AS DOUBLE), {digits}) AS {alias}"
+    return f"round(CAST({expression} AS DOUBLE) + {_NUDGE}, {digits}) AS {alias}"
 
 
 def rounded(df, digits: int = 9):
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(F.col(c) + _NUDGE, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 BOXES = [(-20.0, 60.0, -30.0, 45.0), (170.0, -150.0, -50.0, 10.0)]
