@@ -133,6 +133,16 @@ def correlation_matrices(df: DataFrame, key: str, columns: Sequence[str]) -> Ite
         yield r[key], r["n"], np.divide(c, np.outer(s, s), out=np.zeros_like(c), where=np.outer(s, s) > 0)
 
 
+def _inflation(r: np.ndarray) -> np.ndarray:
+    """1 / (1 - R^2) of each variable on the rest, infinite for a combination of them."""
+    out = []
+    for j in range(len(r)):
+        rest = [i for i in range(len(r)) if i != j]
+        spare = 1.0 - r[j, rest] @ np.linalg.pinv(r[np.ix_(rest, rest)]) @ r[rest, j] if rest else 1.0
+        out.append(1.0 / spare if spare > 1e-9 else np.inf)
+    return np.array(out)
+
+
 def vif(df: DataFrame, key: str, columns: Sequence[str], threshold: float = 10.0) -> DataFrame:
     """(key, step, predictor, vif, kept): predictors leave from the highest inflation on, the first of equals."""
     out = []
@@ -140,7 +150,7 @@ def vif(df: DataFrame, key: str, columns: Sequence[str], threshold: float = 10.0
         left = list(range(len(columns)))
         step = 0
         while left:
-            v = np.diag(np.linalg.pinv(r[np.ix_(left, left)])) if len(left) > 1 else np.ones(1)
+            v = _inflation(r[np.ix_(left, left)])
             worst = int(np.argmax(np.round(v, 9)))
             if v[worst] <= threshold:
                 out += [(k, step, columns[i], float(x), True) for i, x in zip(left, v, strict=True)]

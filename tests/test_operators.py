@@ -234,3 +234,18 @@ def test_streamed_rollup(spark, tmp_path):
     append_once(windowed_ranks(parts, "ts", "10 minutes", "1 hour", "k", "v"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {(r.start.hour, r.k): (r.n, r.mean_value) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got[0, "a"] == (30, 29.0) and got[1, "b"] == (30, 90.0)
+
+
+def test_methods_are_frozen_before_sealed_rows(spark):
+    from tarnflow.operators import procedures as B
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 3))
+    y = rng.random(500) < 1 / (1 + np.exp(-2.5 * x[:, 0]))
+    rows = [("k", i % 3, "sealed" if i % 5 == 0 else "model", bool(y[i]), *map(float, x[i]), float(x[i][0] + 1e-4 * x[i][1])) for i in range(500)]
+    df = spark.createDataFrame(rows, "key string, fold int, role string, y boolean, a double, b double, c double, twin double")
+    got = {r.strategy: r for r in B.method_benchmark(df, "key", F.col("y"), ["k"], ["a", "b", "c", "twin"], [0, 1, 2], B.ModelSpec(), repeats=1, most=1).collect()}
+    assert set(got) == {"all", "vif", "predictive", "random1"} and got["all"].n_predictors == 4 and got["vif"].n_predictors == 3
+    assert got["predictive"].predictors in ("a", "twin") and got["predictive"].presence_rank > 0.8
+    with pytest.raises(ValueError):
+        B.ModelPool(df.withColumn("role", F.lit("other")))
