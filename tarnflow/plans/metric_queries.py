@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnflow.operators import metrics as M
+from tarnflow.operators.audits import spearman_matrices
 
 from .adapters import environment, scores
 from .occurrence_queries import QUERIES, ORACLE_SQL, r, register, rounded  # noqa: F401
@@ -123,7 +124,7 @@ def _(spark, sf):
 def _(spark, sf):
     names = [f"e{i}" for i in range(8)]
     out = []
-    for key, n, m in M.correlation_matrices(environment(spark, sf), "species", names):
+    for key, n, m in spearman_matrices(environment(spark, sf), "species", names):
         pairs = [(a, b) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and abs(m[i, j]) >= 0.2]
         out += [(key, p, g, n) for p, g in M.equivalence_groups(pairs, names).items()]
     return spark.createDataFrame(out, "species int, predictor string, equivalence_group string, n long")

@@ -249,3 +249,25 @@ def test_methods_are_frozen_before_sealed_rows(spark):
     assert got["predictive"].predictors in ("a", "twin") and got["predictive"].presence_rank > 0.8
     with pytest.raises(ValueError):
         B.ModelPool(df.withColumn("role", F.lit("other")))
+
+
+def test_audits(spark):
+    from tarnflow.operators import audits as A
+
+    df = spark.createDataFrame([(i % 2, float(i), None if i < 3 else 1.0, float("nan") if i % 2 else 2.0) for i in range(20)], "cell int, a double, b double, c double")
+    assert A.audit_space(df, {"x": ["a", "c"], "y": ["b"], "z": ["c"]}, 0.8) == ["a", "b"]
+    assert A.prune_audit_space(df, ["cell"], ["a", "b", "c"], 5) == ["a", "b"]
+    c = spark.createDataFrame([(1, ["n", "m"]), (2, ["n"]), (3, None)], "k int, d array<string>")
+    assert {r.k: r.admissible for r in A.admissible(c, "d", ["n", "m"]).collect()} == {1: True, 2: False, 3: False}
+    old = spark.createDataFrame([(1, 2)], "sealed_auc int, other int")
+    assert A.rename_legacy(old, {"sealed_auc": "presence_rank"}).columns == ["presence_rank", "other"]
+    with pytest.raises(ValueError):
+        A.rename_legacy(old, {})
+    gate = A.mechanical_gate(df, ["cell"], {"a_known": F.col("a") >= 0, "b_known": F.col("b") > 0})
+    assert {(r.cell, r.passed, r.failed) for r in gate.collect()} == {(0, False, "b_known"), (1, False, "b_known")}
+    est = spark.createDataFrame([("s", "optimum", 2.0, 4.0)], "species string, quantity string, estimate double, environment_span double")
+    true = spark.createDataFrame([("s", "optimum", 3.0)], "species string, quantity string, true_value double")
+    assert tuple(A.response_errors(est, true, ["species"]).first()) == ("s", "optimum", 1.0, 0.25)
+    ranks = spark.createDataFrame([("g", float(i), float(i) ** 3, -float(i)) for i in range(9)], "k string, a double, b double, c double")
+    ((_, n, m),) = list(A.spearman_matrices(ranks, "k", ["a", "b", "c"]))
+    assert n == 9 and np.allclose(m, [[1, 1, -1], [1, 1, -1], [-1, -1, 1]])
