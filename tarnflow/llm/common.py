@@ -18,12 +18,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch at most: texts may be long, and a worker holds a batch and what it makes of it.
+BATCH_ROWS = 1000
+_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ``BATCH_ROWS``, if they are larger or unbounded."""
+    now = int(spark.conf.get(_ROWS_CONF, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_ROWS_CONF, str(BATCH_ROWS))
+
+
+_kept: dict[str, object] = {}
+
+
+def hold(name: str | None = None, clear=None) -> None:
+    """Called where a task begins: drops what other operators keep in this worker, which lives on between tasks."""
+    for other in [n for n in _kept if n != name]:
+        _kept.pop(other)()
+    if name:
+        _kept[name] = clear
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(spark: SparkSession, df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes ``df`` into the shared folder and reads it again, so that its lineage ends in files."""
+    bounded_batches(spark)
     path = path or scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -37,6 +61,7 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

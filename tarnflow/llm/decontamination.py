@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hold, table
 
 #: Share of an item's own score that a passage must reach; share of its word triples that question and answer need; items in a block.
 THRESHOLD, OVERLAP, GRAM, BLOCK = 0.5, 0.5, 3, 4
@@ -174,6 +174,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            hold()
             for b in batches:
                 rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for x in held.value.verified(t.as_py() or "")]
                 if rows:

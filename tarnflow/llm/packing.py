@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import hold, materialise, table
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a worker keeps; pieces of one length that one task ranks.
@@ -96,6 +96,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     """Each row's ids and the end id, cut into pieces of ``capacity``; a null text is the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("words", _words.cache_clear)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:
             out = defaultdict(list)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, parallelism, release, table
+from .common import hold, materialise, parallelism, release, table
 
 WIDTH, KMER = 100, 32
 _RANDOM = np.random.default_rng(20240117)
@@ -195,6 +195,7 @@ def _emit(width: int, kmer: int, together: int = 200_000):
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (mer, seg, doc, tie, start, windows, later)], names=["mer", "seg", "doc", "tie", "start", "windows", "later"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         parts, held = [], 0
         for b in batches:
             for i, (doc, tie) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):

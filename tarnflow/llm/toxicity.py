@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fitting import held_out, labelled_sample, logistic
-from .common import table
+from .common import hold, table
 
 #: Labelled rows that a fit reads at most; words in a window; a beginning's least support, lift and likelihood ratio; how often a document is covered.
 SAMPLE_ROWS, WINDOW_WORDS, LEAST_SHARE, LEAST_LIFT, LEAST_RATIO, COVER = 8000, 4, 0.01, 3.0, 25.0, 3
@@ -151,6 +151,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for b in batches:
             s = model.scores(t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "score"])
