@@ -62,13 +62,13 @@ def segments(data: bytes, width: int = WIDTH, kmer: int = KMER) -> tuple[np.ndar
     """(k-mer hash, segment hash, first window, windows) of each segment of a text.
 
     A segment is a run of windows with one minimiser; its text is the bytes from its first window to the end of its
-    last. Texts longer than a block are cut so that blocks share width - 1 bytes and every window lies in one.
+    last. Texts of more windows than a block are cut so that blocks share width - 1 bytes and every window lies in one.
     """
     n = len(data)
     if n < width:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64))
     block = (1 << _POSITION_BITS) - width
-    if n > block:
+    if n - width + 1 > block:
         parts = [(at, segments(data[at : at + block + width - 1], width, kmer)) for at in range(0, n - width + 1, block)]
         return tuple(np.concatenate([p[i] + at if i == 2 else p[i] for at, p in parts]) for i in range(4))
     power, inverse = _power_tables(n + 1)

@@ -42,6 +42,30 @@ def test_segments_cover_every_window_once():
         assert first.tolist() == np.r_[0, np.cumsum(windows)][: len(first)].tolist()
 
 
+def test_segments_of_long_texts():
+    rng = random.Random(6)
+    block = (1 << 20) - 100
+    text = rng.randbytes(2_300_000)
+    for n in (block - 1, block, block + 1, block + 98, block + 99, block + 100, 1 << 20, 2 * block + 99, 2 * block + 100, len(text)):
+        data = text[:n]
+        mer, seg, first, windows = S.segments(data)
+        assert first.tolist() == np.r_[0, np.cumsum(windows)][:-1].tolist() and sum(windows.tolist()) == n - 99
+        # each window by itself has the k-mer of the segment it lies in, and a segment's text by itself its hash
+        near = [i for b in range(0, n, block) for i in range(b - 120, b + 120) if 0 <= i <= n - 100] + [n - 100] + rng.sample(range(n - 99), 200)
+        for i in near:
+            k = int(np.searchsorted(first, i, side="right")) - 1
+            assert S.segments(data[i : i + 100])[0].tolist() == [mer[k]], (n, i)
+            assert S.segments(data[first[k] : first[k] + windows[k] + 99])[1].tolist() == [seg[k]], (n, i)
+
+
+def test_long_document_against_brute_force(spark):
+    rng = random.Random(7)
+    long = "".join(rng.choices("abcdefgh ", k=2_200_000))
+    block = (1 << 20) - 100
+    rows = [(1, long), (2, "x" + long[block - 200 : block + 300] + "y" + long[2 * block - 60 : 2 * block + 60]), (3, long[-150:]), (4, long[: 1 << 20])]
+    _check(spark, rows, S.remove_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect())
+
+
 def _docs():
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 9)))
