@@ -271,3 +271,34 @@ def test_audits(spark):
     ranks = spark.createDataFrame([("g", float(i), float(i) ** 3, -float(i)) for i in range(9)], "k string, a double, b double, c double")
     ((_, n, m),) = list(A.spearman_matrices(ranks, "k", ["a", "b", "c"]))
     assert n == 9 and np.allclose(m, [[1, 1, -1], [1, 1, -1], [-1, -1, 1]])
+
+
+def test_marginal_score_spans_the_reference(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from tarnflow.operators import models as L
+
+    rng = random.Random(3)
+    fit = L.Fit(L.Task("all", None, ("a", "b", "c")), L.ModelSpec(degree=2), np.array([0.1, 0.2, 0.3]), np.array([1.0, 2.0, 0.5]), np.array([rng.uniform(-1, 1) for _ in range(10)]))
+    rows = [(i, rng.gauss(0, 1), rng.choice([0.0, 1.5, rng.gauss(0, 2)]), None if i % 17 == 0 else float("nan") if i % 19 == 0 else rng.gauss(0, 1)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(3)
+
+    def p(*x):
+        z = [(v - m) / s for v, m, s in zip(x, fit.centre, fit.scale, strict=True)]
+        return 1 / (1 + np.exp(-(fit.weights[0] + np.dot(fit.weights[1:], z + [z[i] * z[j] for i in range(3) for j in range(i, 3)]))))
+
+    for size in (50_000, 40):
+        monkeypatch.setattr(L, "SHARE_ROWS", size, raising=False)
+        for nuisance in (["b"], ["b", "c"]):
+            at = [{"a": 1, "b": 2, "c": 3}[n] for n in nuisance]
+            whole = sorted(tuple(r[k] for k in at) for r in rows if all(r[k] is not None and r[k] == r[k] for k in at))
+            held = [whole[k] for k in np.unique(np.rint(np.linspace(0, len(whole) - 1, 64)).astype(int))]
+            got = {r["id"]: r["score"] for r in L.marginal_score(df, fit, nuisance, df).collect()}
+            for i, a, b, c in rows:
+                if len(nuisance) == 1 and (c is None or c != c):
+                    assert got[i] is None
+                else:
+                    assert abs(got[i] - np.mean([p(a, *h) if len(h) == 2 else p(a, h[0], c) for h in held])) < 1e-9
+    assert {r["score"] for r in L.marginal_score(df, fit, ["b"], df.where("b is null")).collect()} == {None}
