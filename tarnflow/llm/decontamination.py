@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hold, table
+from .common import hold, materialise, table
 
 #: Share of an item's own score that a passage must reach; share of its word triples that question and answer need; items in a block.
 THRESHOLD, OVERLAP, GRAM, BLOCK = 0.5, 0.5, 3, 4
@@ -45,21 +45,25 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
 
 
 class Index:
-    """Postings with an upper bound for each term and for each term in each block of items."""
+    """Postings with an upper bound for each term and for each term in each block of items.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    An index of a part of the items takes ``whole``, the (items, mean words, most words, items by term) of all of them.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, float, int, dict[str, int]] | None = None):
         kept = sorted((i, t) for i, t in items if words(t or ""))
         self.items = [i for i, _ in kept]
         self.parts = [tuple(map(_grams, question_answer(t))) for _, t in kept]
         counts = [Counter(words(t)) for _, t in kept]
-        self.longest = max((sum(c.values()) for c in counts), default=1)
-        mean = sum(sum(c.values()) for c in counts) / max(1, len(counts))
-        df = Counter(w for c in counts for w in c)
-        self.terms = {w: n for n, w in enumerate(sorted(df))}
+        if whole is None:
+            sizes = [sum(c.values()) for c in counts]
+            whole = len(sizes), sum(sizes) / max(1, len(sizes)), max(sizes, default=1), Counter(w for c in counts for w in c)
+        total, mean, self.longest, df = whole
+        self.terms = {w: n for n, w in enumerate(sorted({w for c in counts for w in c}))}
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for d, c in enumerate(counts):
             norm = K1 * (1 - B + B * sum(c.values()) / mean)
-            raw = {w: math.log(1 + (len(kept) - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + norm) for w, f in c.items()}
+            raw = {w: math.log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + norm) for w, f in c.items()}
             own = sum(raw.values())
             for w, x in raw.items():
                 postings[self.terms[w]].append((d, x / own))
@@ -157,20 +161,41 @@ class Index:
 LEAKS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, term, words) of each term of an item, and a row without term that has the item's words."""
+    for b in batches:
+        rows = []
+        for part, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if w := words(text):
+                rows += [(part, None, len(w)), *((part, x, None) for x in set(w))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["part", "term", "words"])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, ...) for each document that holds a test item, with its best passage.
 
     Null or empty texts of either side hold nothing; a repeated document gives its rows again, a repeated item its own;
     rows with a null doc_id are searched too. Columns other than doc_id, text, item_id are ignored. Items go to tasks in
-    indexes of at most about ``INDEX_BYTES``.
+    indexes of at most about ``INDEX_BYTES``; weights and passages are those of all items, however many indexes there are.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-total // INDEX_BYTES))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    part_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    if parts > 1:
+        terms = materialise(docs.sparkSession, items.select(part_of.alias("part"), "text").mapInArrow(_item_terms, "part long, term string, words long"), "leak-terms")
+        count, mean, longest = terms.where("term is null").agg(F.count("*"), F.avg("words"), F.max("words")).first()
+        by_term = terms.where("term is not null").groupBy("term").count()
+        by_term = materialise(docs.sparkSession, by_term, "leak-items-by-term")
     out = None
     for part in range(parts):
-        index = Index([(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()])
+        whole = None
+        if parts > 1 and count:
+            mine = terms.where((F.col("part") == part) & F.col("term").isNotNull()).select("term").distinct()
+            whole = count, mean, longest, {r[0]: r[1] for r in by_term.join(mine, "term").select("term", "count").collect()}
+        index = Index([(r[0], r[1]) for r in items.where(part_of == part).collect()], whole)
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

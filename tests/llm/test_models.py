@@ -44,6 +44,27 @@ def test_leaks_found_and_clean_left(spark, monkeypatch):
     assert D.find_leaks(frame, bench.limit(0)).count() == 0 and D.find_leaks(frame.limit(0), bench).count() == 0
 
 
+def test_leaks_do_not_depend_on_index_parts(spark, monkeypatch):
+    rng = random.Random(9)
+    common, rare = _words(rng, 12), _words(rng, 400)
+    mixed = lambda n: [rng.choice(common) if rng.random() < 0.6 else rng.choice(rare) for _ in range(n)]
+    items = [(i, " ".join(mixed(rng.randint(6, 40))) + ". " + " ".join(mixed(rng.randint(2, 8))) + ".") for i in range(60)]
+    docs = []
+    for i in range(180):
+        w = items[i % 60][1].split()
+        for _ in range(len(w) // 8 + i % 3):
+            w[rng.randrange(len(w))] = rng.choice(rare)
+        docs.append((i, " ".join(mixed(rng.randint(0, 60)) + w + mixed(rng.randint(0, 60)))))
+    index = D.Index(items)
+    want = sorted((i, x[0], round(x[1], 9), *x[2:]) for i, t in docs for x in index.verified(t))
+    assert 20 < len({i for i, *_ in want}) < 180
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for size in (1 << 19, 1500):
+        monkeypatch.setattr(D, "INDEX_BYTES", size)
+        got = D.find_leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert sorted((r[0], r[1], round(r[2], 9), *r[3:]) for r in got) == want
+
+
 def test_toxic_words_are_learnt(spark):
     rng = random.Random(8)
     bad = ["vexgrumble", "zoqhatter", "wibblescorn"]
