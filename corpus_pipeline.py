@@ -12,9 +12,18 @@ from tarnflow.llm.common import materialise, table
 SHINGLE, LIKE = 5, 80
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less those whose doc_id is in ``ids``; a null id never is."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+#: Names a row: doc_ids may be shared by different texts, or null.
+ROW = "_row"
+
+
+def _rows_named(docs: DataFrame) -> DataFrame:
+    """``docs`` with a 64-bit hash of id and whole text, which is never null."""
+    return docs.withColumn(ROW, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Named ``docs`` less those in ``rows``."""
+    return docs.join(rows.select(ROW).distinct(), ROW, "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +34,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of near copies; rows repeated whole count as one."""
-    found = materialise(spark, jaccard.jaccard_components(docs, size=SHINGLE, like=LIKE), "pipeline-components")
-    rest = _without(docs, found.where("doc_id <> component_id"))
-    twice = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    """The document with the smallest doc_id of each component of near copies; rows repeated whole count as one.
+
+    A null doc_id comes after all others; rows that share one are told apart by their texts' hashes.
+    """
+    named = _rows_named(docs)
+    found = jaccard.jaccard_components(named.select(F.col(ROW).alias("doc_id"), "text"), size=SHINGLE, like=LIKE)
+    found = materialise(spark, found.where("n_shingles > 0").select(F.col("doc_id").alias(ROW), "component_id"), "pipeline-components")
+    several = found.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = materialise(spark, found.join(several, "component_id").groupBy(ROW, "component_id").agg(F.count("*").alias("n")), "pipeline-members")
+    if members.isEmpty():
+        return docs
+    ids = named.select(ROW, "doc_id").join(members, ROW)
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")).select(f"first.{ROW}")
+    first = materialise(spark, first, "pipeline-first")
+    rest = _without(named, members.join(first, ROW, "left_anti"))
+    twice = members.where("n > 1").select(ROW)
     if twice.isEmpty():
-        return rest
-    again = rest.join(twice.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    return _without(rest, twice).unionByName(again.dropDuplicates(["doc_id"]))
+        return rest.drop(ROW)
+    again = rest.join(twice, ROW, "left_semi").select(*named.columns)
+    return _without(rest, twice).unionByName(again.dropDuplicates([ROW])).drop(ROW)
 
 
 def cut_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +66,9 @@ def cut_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of ``benchmark``."""
-    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, materialise(spark, leaks.select("doc_id"), "pipeline-leaks"))
+    named = _rows_named(docs)
+    leaks = decontamination.find_leaks(named.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(named, materialise(spark, leaks.select(F.col("doc_id").alias(ROW)), "pipeline-leaks")).drop(ROW)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,22 @@ def test_stages(spark, tmp_path):
     before, after = seen["packing"]
     assert {r.doc_id for r in after} == {i for i, _ in before}
     assert sorted(map(str, P.run(spark, sf).select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(str(r) for r in docs.select("doc_id", "piece", "length", "ids_crc32").collect())
+
+
+def test_shared_and_null_ids(spark, tmp_path):
+    rng = random.Random(13)
+    prose = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    near = lambda t: t + " changed"
+    item, a, b, c, d, e, f, g = prose(16).capitalize() + ". " + prose(6) + ".", *(prose(60) for _ in range(7))
+    leak, leak2 = prose(20) + " " + item + " " + prose(20), prose(15) + " " + item + " " + prose(25)
+    rows = [(1, a), (5, near(a)), (5, b), (6, c), (6, d), (7, e), (7, e), (None, f), (None, near(f)), (None, near(near(f))), (8, near(g)), (None, g), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/near.parquet")
+    got = [(r.doc_id, r.text) for r in P.keep_one_of_near_copies(spark, spark.read.parquet(f"{tmp_path}/near.parquet"), str(tmp_path)).collect()]
+    kept = [x for x in got if x[1] not in (f, near(f), near(near(f)))]
+    assert sorted(map(str, kept)) == sorted(map(str, [(1, a), (5, b), (6, c), (6, d), (7, e), (8, near(g)), (9, ""), (9, ""), (None, None)]))
+    assert len(got) == len(kept) + 1
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, leak), (1, a), (None, leak2), (None, b), (2, leak), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/leaks.parquet")
+    got = P.drop_leaks(spark, spark.read.parquet(f"{tmp_path}/leaks.parquet"), str(tmp_path)).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(map(str, [(1, a), (None, b), (3, None)]))
