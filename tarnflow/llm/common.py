@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which every executor sees; a temporary one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``, which every executor sees.
+
+    Where it is unset, a temporary one if the session is local to one machine, as in tests; on a cluster that is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tarnflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,18 +53,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def owning(paths: list[str]) -> Iterator[None]:
+    """Notes in ``paths`` the scratch tables that are written inside, so that their owner can discard them."""
+    _owners.append(paths)
+    try:
+        yield
+    finally:
+        _owners.remove(paths)
+
+
 def materialise(spark: SparkSession, df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes ``df`` into the shared folder and reads it again, so that its lineage ends in files."""
     bounded_batches(spark)
     path = path or scratch_path(spark, name)
+    for paths in _owners:
+        paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Removes scratch tables that nothing reads any more."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Removes scratch tables that nothing reads any more, given as their paths or as ``materialise`` returned them."""
+    for t in tables:
+        where = spark._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t._scratch)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
@@ -70,17 +95,19 @@ def parallelism(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of undirected ``edges`` (a, b): the component is its smallest node.
 
     Large-star and small-star steps alternate until no edge changes. Each step groups edges by a node only through
     minima (``groupBy().min`` with map-side combining) and a join that adaptive execution can split, and each round is
-    written to the shared folder, so that nothing is gathered in one task and a lost executor costs one round.
+    written to the shared folder, so that nothing is gathered in one task and a lost executor costs one round. What a
+    round leaves behind is discarded; the result is a scratch table that the caller may discard.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = materialise(spark, edges.select("a", "b").where("a <> b").distinct(), "edges")
-    before = None
-    for _ in range(rounds):
+    before, state = None, ()
+    while state != before:
+        before = state
         # large star: every larger neighbour is tied to the smallest of the neighbourhood
         sides = both(now)
         least = sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -91,17 +118,17 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = materialise(spark, small, "small-star")
+        settled = materialise(spark, small, "small-star")
+        discard(spark, now, down)
+        now = settled
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("components did not settle")
     stars = now.groupBy("a").agg(F.min("b").alias("b"))
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+    stars = stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+    out = materialise(spark, stars, "components")
+    discard(spark, now)
+    return out
 
 
 def release(spark: SparkSession) -> None:
