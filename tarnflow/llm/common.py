@@ -63,7 +63,7 @@ def owning(paths: list[str]) -> Iterator[None]:
     try:
         yield
     finally:
-        _owners.remove(paths)
+        _owners[:] = [x for x in _owners if x is not paths]
 
 
 def materialise(spark: SparkSession, df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -90,6 +90,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parallelism(spark: SparkSession, least: int = 12) -> int:
     """Partitions for an explicit repartition by key."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hold, materialise, parallelism, release, table
+from .common import discard, free_name, hold, materialise, owning, parallelism, release, table
 
 WIDTH, KMER = 100, 32
 _RANDOM = np.random.default_rng(20240117)
@@ -178,12 +178,28 @@ def _batches(parts: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*parts, strict=True)], names=names)
 
 
-_SEGMENT = f"mer long, seg long, {_WHERE}, start long, windows long, later boolean"
+_SEGMENT = f"mer long, seg long, {_WHERE}, start long, windows long, later boolean, often boolean"
+#: Documents of the sample that finds frequent k-mers; of how many of their segments a k-mer is called frequent.
+SAMPLE_DOCS, FREQUENT = 4000, 8
 
 
-def _emit(width: int, kmer: int, together: int = 200_000):
+def _frequent_mers(docs: DataFrame, width: int, kmer: int) -> np.ndarray:
+    """Sorted k-mers of several segments of a bounded sample: they repeat for certain, and no list of another is long."""
+    n_docs = docs.count()
+    drawn = docs if n_docs <= SAMPLE_DOCS else docs.where(F.pmod(F.xxhash64(F.lit(3), "doc", "tie"), F.lit(1 << 30)) < int(SAMPLE_DOCS / n_docs * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(segments(x.as_py() or b"", width, kmer)[0])], names=["mer"])
+
+    often = drawn.select("data").mapInArrow(run, "mer long").groupBy("mer").count().where(F.col("count") >= FREQUENT)
+    return np.sort(np.array([r[0] for r in often.select("mer").toLocalIterator()], dtype=np.int64))
+
+
+def _emit(width: int, kmer: int, frequent, together: int = 200_000):
     """Every segment. One that occurs before in the rows sent together is marked as later and gets a k-mer of its own,
-    so that a text that very many documents hold does not make a heavy key."""
+    so that a text that very many documents hold does not make a heavy key; those of ``frequent`` k-mers are marked."""
 
     def done(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         mer, seg, doc, tie, start, windows = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -191,8 +207,9 @@ def _emit(width: int, kmer: int, together: int = 200_000):
         same = (mer[order][1:] == mer[order][:-1]) & (seg[order][1:] == seg[order][:-1])
         later = np.zeros(len(mer), bool)
         later[order[1:]] = same
+        often = frequent.value[np.minimum(np.searchsorted(frequent.value, mer), len(frequent.value) - 1)] == mer if len(frequent.value) else np.zeros(len(mer), bool)
         mer[later] = _mix((doc[later] + tie[later] + (start[later] << 20)).view(np.uint64)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (mer, seg, doc, tie, start, windows, later)], names=["mer", "seg", "doc", "tie", "start", "windows", "later"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (mer, seg, doc, tie, start, windows, later, often)], names=["mer", "seg", "doc", "tie", "start", "windows", "later", "often"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold()
@@ -287,10 +304,13 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH, kmer: int = KMER) -> Da
     Spans of a document may touch or overlap. (doc, tie) names a document and orders them all.
     """
     spark = docs.sparkSession
-    emitted = docs.select("doc", "tie", "data")
-    every = emitted.mapInArrow(_emit(width, kmer), _SEGMENT)
-    alike = every.withColumn("n", F.count("*").over(Window.partitionBy("mer"))).where("n > 1 or later").drop("n")
-    found = materialise(spark, alike, "substring-candidates")
+    docs = docs.select("doc", "tie", "data")
+    frequent = spark.sparkContext.broadcast(_frequent_mers(docs, width, kmer))
+    every = docs.mapInArrow(_emit(width, kmer, frequent), _SEGMENT)
+    # frequent k-mers need not be counted, so their rows are spread
+    spread = F.when(F.col("often"), F.xxhash64("doc", "tie", "start")).otherwise(F.lit(0).cast("long"))
+    alike = every.withColumn("spread", spread).withColumn("n", F.count("*").over(Window.partitionBy("mer", "spread"))).where("n > 1 or later or often")
+    found = materialise(spark, alike.drop("n", "spread", "often"), "substring-candidates")
     release(spark)
     # equal segments: all but the first are repeated whole
     kept = found.where("not later").groupBy("mer", "seg").agg(F.min(F.struct("doc", "tie", "start")).alias("one"), F.first("windows").alias("windows"), F.count("*").alias("n"))
@@ -299,29 +319,27 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH, kmer: int = KMER) -> Da
     later = found.where("not later").join(firsts.hint("shuffle_hash"), ["mer", "seg"]).where("doc <> doc1 or tie <> tie1 or start <> start1")
     later = later.select("doc", "tie", "start", "windows").union(found.where("later").select("doc", "tie", "start", "windows"))
     spans = materialise(spark, later.select("doc", "tie", "start", (F.col("start") + F.col("windows") + width - 1).alias("stop")), "substring-later")
+    discard(spark, found)
+    release(spark)
     # segments that share a k-mer with another: cut from their documents and sorted
-    many = kept.groupBy("mer").count().where("count > 1")
-    shared = kept.join(materialise(spark, many, "substring-shared"), "mer").select("mer", "count", "doc", "tie", "start", (F.col("start") + F.col("windows") + width - 1).alias("stop"))
-    wanted = shared.groupBy("doc", "tie").agg(F.collect_list(F.struct("mer", "start", "stop")).alias("wanted"))
-    cuts = docs.select("doc", "tie", "data").join(materialise(spark, wanted, "substring-wanted").hint("shuffle_hash"), ["doc", "tie"]).select("doc", "tie", "data", "wanted")
+    many = materialise(spark, kept.groupBy("mer").count().where("count > 1"), "substring-shared")
+    shared = kept.join(many, "mer").select("mer", "doc", "tie", "start", (F.col("start") + F.col("windows") + width - 1).alias("stop"))
+    wanted = materialise(spark, shared.groupBy("doc", "tie").agg(F.collect_list(F.struct("mer", "start", "stop")).alias("wanted")), "substring-wanted")
+    discard(spark, kept)
+    cuts = docs.join(wanted.hint("shuffle_hash"), ["doc", "tie"]).select("doc", "tie", "data", "wanted")
     cuts = materialise(spark, cuts.mapInArrow(_cut, f"mer long, {_WHERE}, start long, cut binary"), "substring-cuts")
+    discard(spark, wanted)
     release(spark)
     crowded = materialise(spark, many.where(F.col("count") > MANY).select("mer"), "substring-crowded")
     usual = cuts.join(crowded, "mer", "left_anti").repartition(parallelism(spark), "mer").sortWithinPartitions("mer")
     sorted_spans = materialise(spark, usual.mapInArrow(_suffix_arrays(width), _SPAN), "substring-sorted")
     crowd = materialise(spark, cuts.join(crowded, "mer", "left_semi").mapInArrow(_windows(width), f"mer long, h1 long, h2 long, {_WHERE}, start long"), "substring-windows")
+    discard(spark, cuts, many, crowded)
     earliest = crowd.groupBy("mer", "h1", "h2").agg(F.min(F.struct("doc", "tie", "start")).alias("one"), F.count("*").alias("n")).where("n > 1")
     again = crowd.join(materialise(spark, earliest, "substring-earliest"), ["mer", "h1", "h2"]).where(F.struct("doc", "tie", "start") != F.col("one"))
     return spans.unionByName(sorted_spans).unionByName(again.select("doc", "tie", "start", (F.col("start") + width).alias("stop")))
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """``docs`` with (doc, tie, data), and whether rows share an id: those are told apart by their texts; null ids come first."""
-    data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    shared = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "tie": F.xxhash64(data) if shared else F.lit(0).cast("long"), "data": data}), shared
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The maximal runs that spans cover."""
     out: list[tuple[int, int]] = []
@@ -336,45 +354,56 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _FIGURES = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
 
 
-def remove_duplicates(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
-    """Every row of ``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, its text cut.
+def remove_duplicates(docs: DataFrame, width: int = WIDTH, with_text: bool = True, figures: bool = True) -> DataFrame:
+    """Every row of ``docs`` with its text cut, if asked for, and n_bytes, n_removed, n_spans and kept_sha256.
 
     A byte of the text's UTF-8 is removed if a string of ``width`` bytes covers it that also starts earlier: in a
     smaller doc_id, or before in the same document; overlaps count, and strings are judged on the input. The cut text
     leaves out what removal left of a split character; kept_sha256 is of the bytes. A null text is empty, and stays
     null when cut. Rows that share a doc_id are ordered by their texts' hashes; rows repeated whole are one document and
-    get the same result each; a null doc_id comes first. Other columns stay, but those with the names above or named
-    doc, tie, data or found are dropped. No rows give no rows.
+    get the same result each; a null doc_id comes first. Texts may be of any length: over a megabyte they are looked
+    through in overlapping blocks. Other columns stay, but those named as the four figures are replaced. Without
+    ``figures`` the rows keep their own columns alone, whatever their names, and rows of which nothing is left go, but
+    for empty texts. No rows give no rows.
     """
     spark = docs.sparkSession
-    docs = docs.drop("doc", "tie", "data", "found", *_FIGURES)
+    docs = docs.drop(*_FIGURES) if figures else docs
     docs = docs if with_text else docs.select("doc_id", "text")
-    keyed, shared = _keyed(docs)
-    keys = keyed.select("doc", "tie", "data")
+    doc, tie, data, found_in = (free_name(docs, f"_{n}") for n in ("doc", "tie", "data", "found"))
+    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    shared = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), tie: F.xxhash64(body) if shared else F.lit(0).cast("long"), data: body})
+    keys = keyed.select(F.col(doc).alias("doc"), F.col(tie).alias("tie"), F.col(data).alias("data"))
     if shared:
         keys = keys.dropDuplicates(["doc", "tie"])
-    found = duplicate_spans(keys, width).groupBy("doc", "tie").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
-    found = materialise(spark, found, "substring-spans")
+    scratch: list[str] = []
+    with owning(scratch):
+        spans = duplicate_spans(keys, width)
+    found = materialise(spark, spans.groupBy("doc", "tie").agg(F.collect_set(F.struct("start", "stop")).alias(found_in)), "substring-spans")
+    discard(spark, *scratch)
     release(spark)
     given = [c for c in docs.columns if with_text or c != "text"]
-    rows = keyed.join(found.hint("shuffle_hash"), ["doc", "tie"], "left").select(*given, F.when(F.col("text").isNotNull(), F.col("data")).alias("data"), "found")
-    schema = T.StructType([*(f for f in docs.schema if f.name in given), *(T.StructField(k, T.StringType() if v == pa.string() else T.LongType()) for k, v in _FIGURES.items())])
+    rows = keyed.join(found.withColumnsRenamed({"doc": doc, "tie": tie}).hint("shuffle_hash"), [doc, tie], "left")
+    rows = rows.select(*given, F.when(F.col("text").isNotNull(), F.col(data)).alias(data), found_in)
+    made = _FIGURES if figures else {}
+    schema = T.StructType([*(f for f in docs.schema if f.name in given), *(T.StructField(k, T.StringType() if v == pa.string() else T.LongType()) for k, v in made.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, figures = [], []
-            for data, spans in zip(b.column(len(given)), b.column(len(given) + 1), strict=True):
-                raw, runs = data.as_py(), merged([(x["start"], x["stop"]) for x in spans.as_py() or ()])
+            texts, numbers, stay = [], [], []
+            for text, spans in zip(b.column(len(given)), b.column(len(given) + 1), strict=True):
+                raw, runs = text.as_py(), merged([(x["start"], x["stop"]) for x in spans.as_py() or ()])
                 body, at, kept = raw or b"", 0, []
                 for start, stop in runs:
                     kept.append(body[at:start])
                     at = stop
                 left = b"".join((*kept, body[at:]))
                 texts.append(None if raw is None else left.decode("utf-8", "ignore"))
-                figures.append((len(body), len(body) - len(left), len(runs), hashlib.sha256(left).hexdigest()))
+                numbers.append((len(body), len(body) - len(left), len(runs), hashlib.sha256(left).hexdigest()))
+                stay.append(figures or len(left) > 0 or not body)
             columns = [pa.array(texts, b.schema.field(i).type) if n == "text" else b.column(i) for i, n in enumerate(given)]
-            made = list(zip(*figures, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, k) for c, k in zip(made, _FIGURES.values(), strict=True))], names=[*given, *_FIGURES])
+            columns += [pa.array(c, k) for c, k in zip(list(zip(*numbers, strict=True)) or [()] * 4, made.values(), strict=False)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*given, *made]).filter(pa.array(stay, pa.bool_()))
 
     return rows.mapInArrow(run, schema)
 

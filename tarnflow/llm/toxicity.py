@@ -19,6 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .fitting import held_out, labelled_sample, logistic
 from .common import hold, table
@@ -141,22 +142,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxicity
     return train([r["text"] for r in got], [r["_label"] for r in got])
 
 
-def score(docs: DataFrame, model: Toxicity) -> DataFrame:
-    """Every row of ``docs`` with ``score``; a null or empty text gets the score of no window. Whole texts are read.
+def score(docs: DataFrame, model: Toxicity, name: str = "score") -> DataFrame:
+    """Every row of ``docs`` with a column ``name``; a null or empty text gets the score of no window.
 
-    Columns of ``docs`` stay; one named ``score`` is replaced. Rows repeated give rows repeated.
+    Whole texts are read, of any length. Columns of ``docs`` stay, but one called ``name`` is replaced. Equal texts have
+    equal scores, rows repeated give rows repeated, no rows give no rows.
     """
-    rows = docs.drop("score")
+    rows = docs.drop(name)
     kinds = rows.schema
-    from pyspark.sql.types import DoubleType, StructField, StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold()
         for b in batches:
             s = model.scores(t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, name])
 
-    return rows.mapInArrow(run, StructType([*kinds.fields, StructField("score", DoubleType())]))
+    return rows.mapInArrow(run, StructType([*kinds.fields, StructField(name, DoubleType())]))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

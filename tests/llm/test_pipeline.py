@@ -76,3 +76,36 @@ def test_shared_and_null_ids(spark, tmp_path):
     spark.createDataFrame([(1, leak), (1, a), (None, leak2), (None, b), (2, leak), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/leaks.parquet")
     got = P.drop_leaks(spark, spark.read.parquet(f"{tmp_path}/leaks.parquet"), str(tmp_path)).collect()
     assert sorted(str(tuple(r)) for r in got) == sorted(map(str, [(1, a), (None, b), (3, None)]))
+
+
+def test_clashing_columns_repeats_and_no_rows(spark, tmp_path):
+    """Columns named as the stages' own stay as they are; rows repeated whole, nulls and empty tables have their results."""
+    rng = random.Random(14)
+    prose = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    sf, item = str(tmp_path), prose(16).capitalize() + ". " + prose(6) + "."
+    passage = prose(45)
+    rows = [(i, prose(60)) for i in range(30)] + [(40, None), (40, None), (41, ""), (41, ""), (None, prose(50))]
+    rows += [(50, prose(30) + " " + item + " " + prose(30))] * 2 + [(60 + i, prose(30) + " " + passage + " " + prose(30)) for i in range(3)] + [(70, passage)]
+    rows += [(3, rows[3][1])]
+    names = ["score", "_score", "data", "doc", "tie", "found", "_DOC", "_found", "n_bytes", "n_removed", "kept_sha256", "_row", "key", "token", "component_id", "piece", "length"]
+    docs = [(i, t, *(f"{n}{k}" for n in names)) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 5 == 0) for i in range(30)], "doc_id long, quality int, toxic boolean").selectExpr("doc_id", "quality", "int(toxic) toxic").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    given = {tuple(r)[2:]: r for r in docs.collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for i, (name, stage) in enumerate(P.STAGES[:-1]):
+        stage(spark, docs, sf).write.parquet(f"{sf}/stage{i}")
+        empty = stage(spark, docs.limit(0), sf)
+        assert empty.count() == 0 and empty.columns == docs.columns
+        before, docs = docs, spark.read.parquet(f"{sf}/stage{i}")
+        assert docs.columns == before.columns
+        for r in docs.collect():
+            was = given[tuple(r)[2:]]
+            assert r.doc_id == was.doc_id and (r.text == was.text or name == "substring_dedup" or i > 2), name
+        n = {x: docs.where(f"doc_id = {x}").count() for x in (3, 40, 41, 50)}
+        assert n == ({3: 2, 40: 2, 41: 2, 50: 2} if i == 0 else {3: 1, 40: 2, 41: 2, 50: 1} if i < 3 else {3: 1, 40: 2, 41: 2, 50: 0}), name
+    assert docs.where("doc_id = 70").count() == 0 and docs.where("doc_id is null").count() == 1
+    packed = P.pack_sequences(spark, docs, sf)
+    assert packed.count() == docs.count() and P.pack_sequences(spark, docs.limit(0), sf).count() == 0

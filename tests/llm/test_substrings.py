@@ -104,6 +104,13 @@ def test_against_brute_force(spark):
     _check(spark, rows, got.collect())
 
 
+def test_frequent_kmers(spark, monkeypatch):
+    monkeypatch.setattr(S, "FREQUENT", 2)
+    monkeypatch.setattr(S, "SAMPLE_DOCS", 60)
+    rows = _docs()
+    _check(spark, rows, S.remove_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect())
+
+
 def test_crowded_kmers(spark, monkeypatch):
     monkeypatch.setattr(S, "MANY", 2)
     rows = _docs()
