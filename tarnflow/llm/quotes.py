@@ -2,7 +2,7 @@
 
 A quoted passage is hashed after folding case, blanks and line breaks; it belongs to the earliest message of its
 conversation that says it itself. A message replies to the original of its shallowest linked quote, of several to the
-latest. Messages that reply, directly or not, to one message form its thread; a conversation is ordered by thread, then
+latest; sentences of few words count only where no longer passage is linked. Messages that reply, directly or not, to one message form its thread; a conversation is ordered by thread, then
 turn, so a reply never stands before what it answers.
 """
 
@@ -21,9 +21,9 @@ from .common import materialise, table
 _QUOTE = re.compile(r"\s{0,3}((?:>\s?)+)")
 #: Lines that introduce a quote in mail and chat clients, in four languages.
 _INTRO = re.compile(r"^\s*(?:on|am|le|el)\b.{0,300}(?:wrote|schrieb\b.{0,80}|a écrit|escribió)\s*:\s*$", re.IGNORECASE)
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
-#: Turns that one task numbers, and the least words of a sentence that is looked up by itself.
-TURNS_TOGETHER, LEAST_WORDS = 512, 4
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
+#: Turns that one task numbers, shares of the rows of a turn; words below which a hit counts after all longer ones.
+TURNS_TOGETHER, SHARES, LEAST_WORDS = 512, 256, 4
 
 
 def levels(text: str) -> list[tuple[int, str]]:
@@ -64,13 +64,14 @@ def _key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(text.casefold().split()).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def units(text: str) -> set[int]:
-    """Hashes of what can be quoted: the whole text, its paragraphs, and their longer sentences."""
-    out = {_key(text)} if text.strip() else set()
-    for p in re.split(r"\n\s*\n", text):
-        if p.strip():
-            out.add(_key(p))
-            out.update(_key(s) for line in (p, *p.split("\n")) for s in _SENTENCE.split(line) if len(s.split()) >= LEAST_WORDS)
+def units(text: str) -> dict[int, bool]:
+    """Hashes of what can be quoted: the whole text, its paragraphs, lines and sentences; and whether it is short."""
+    out = {}
+    for p in (text, *re.split(r"\n\s*\n", text)):
+        for line in (p, *p.split("\n")):
+            for s in (line, *_SENTENCE.split(line)):
+                if n := len(s.split()):
+                    out[_key(s)] = n < LEAST_WORDS
     return out
 
 
@@ -90,17 +91,18 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
     ``body`` is the text without quotes (null stays null); ``parent_turn`` is null for a message that links to none,
     which then is its own thread; ``position`` numbers a conversation from 0 in reply order, null turns first. Rows
-    repeated whole, or sharing a turn, share their links and follow the order of their bodies. No rows give no rows;
-    other columns are ignored. The position is numbered in shares of ``TURNS_TOGETHER`` turns, so that one endless
-    conversation is the work of many tasks.
+    repeated whole, or sharing a turn, share their links and follow the order of a hash of role and body. Texts may be of
+    any length. No rows give no rows; other columns are ignored. The position is numbered in shares of
+    ``TURNS_TOGETHER`` turns and of ``SHARES`` of each turn, so that one endless conversation, or very many rows of one
+    turn or of none, are the work of many tasks.
     """
     spark = messages.sparkSession
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     texts = rows.select("conv_id", "turn", "text").where("conv_id is not null and turn is not null")
-    key = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("level", pa.int32()), ("passage", pa.int32()), ("hash", pa.int64())])
+    key = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("level", pa.int32()), ("passage", pa.int32()), ("hash", pa.int64()), ("short", pa.bool_())])
     quoted = texts.where(F.col("text").contains(">")).mapInArrow(
-        _rows(lambda c, t, x: [(c, t, level, i, h) for i, (level, q) in enumerate(passages(x or "")[1]) for h in units(q)], key),
-        "conv_id long, turn long, level int, passage int, hash long",
+        _rows(lambda c, t, x: [(c, t, level, i, h, short) for i, (level, q) in enumerate(passages(x or "")[1]) for h, short in units(q).items()], key),
+        "conv_id long, turn long, level int, passage int, hash long, short boolean",
     )
     quoted = materialise(spark, quoted, "quotes")
     own = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("hash", pa.int64())])
@@ -110,8 +112,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     origins = said.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     found = quoted.join(materialise(spark, origins, "quote-origins"), ["conv_id", "hash"], "left").where("origin is null or origin < turn")
     each = quoted.select("conv_id", "turn", "passage").distinct().groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"))
-    hits = found.where("origin is not null").groupBy("conv_id", "turn").agg(F.countDistinct("passage").alias("n_linked"), F.min(F.struct("level", -F.col("origin"))).alias("best"))
-    links = each.join(hits, ["conv_id", "turn"], "left").select("conv_id", "turn", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), (-F.col("best.col2")).alias("parent_turn"))
+    hits = found.where("origin is not null").groupBy("conv_id", "turn").agg(F.countDistinct("passage").alias("n_linked"), F.min(F.struct("short", "level", (-F.col("origin")).alias("origin"))).alias("best"))
+    links = each.join(hits, ["conv_id", "turn"], "left").select("conv_id", "turn", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), (-F.col("best.origin")).alias("parent_turn"))
     links = materialise(spark, links, "quote-links")
     # pointers double until each stands on a message that replies to none
     now = links.where("parent_turn is not null").select("conv_id", "turn", F.col("parent_turn").alias("up"), F.lit(1).cast("long").alias("depth"))
@@ -141,10 +143,60 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     known = lambda df: df.withColumn("c", F.struct("conv_id"))  # noqa: E731  null conversations join too
     before = known(inside).join(known(groups).drop("conv_id"), ["c", "g"]).select("c", "t", "s", (F.col("ahead") + F.col("inside")).alias("before"))
     before = materialise(spark, before, "quote-positions")
-    nth = F.row_number().over(Window.partitionBy("c", "t", "s").orderBy("turn", "body", "role"))
-    numbered = known(place(out, F.col("thread_turn"))).withColumn("nth", nth)
-    return numbered.join(before, ["c", "t", "s"]).select(*out.columns, (F.col("before") + F.col("nth") - 1).alias("position"))
+    # inside a share rows follow their turns, and in a turn the shares of a hash
+    share = F.pmod(F.xxhash64("role", "body"), F.lit(SHARES))
+    numbered = known(place(out, F.col("thread_turn"))).withColumn("h", share)
+    turns = materialise(spark, numbered.groupBy("c", "t", "s", F.coalesce("turn", F.lit(-1)).alias("at"), "h").count(), "quote-turns")
+    ahead = turns.withColumn("nth", F.sum("count").over(Window.partitionBy("c", "t", "s").orderBy("at", "h")) - F.col("count")).drop("count")
+    within = F.row_number().over(Window.partitionBy("c", "t", "s", "at", "h").orderBy("body", "role"))
+    numbered = numbered.withColumn("at", F.coalesce("turn", F.lit(-1))).withColumn("within", within)
+    numbered = numbered.join(ahead, ["c", "t", "s", "at", "h"]).join(before, ["c", "t", "s"])
+    return numbered.select(*out.columns, (F.col("before") + F.col("nth") + F.col("within") - 1).alias("position"))
+
+
+def as_replies(messages: DataFrame) -> DataFrame:
+    """``messages`` with each text below a quote of the message it answers, and that message's turn as ``answers``.
+
+    A message answers the one before, each third one that before it, if there is such a message; the quote holds that
+    one's own quote a level deeper, as mail and chat clients do it. Null texts stay null. It is a known truth to hold
+    links against where a table holds no quotes.
+    """
+    back = lambda turn: F.col(turn) - 1 - F.when((F.col("conv_id") + F.col(turn)) % 3 == 0, 1).otherwise(0)
+    quote = lambda text, mark: F.concat(F.lit(mark), F.regexp_replace(text, "\n", f"\n{mark}"), F.lit("\n"))
+    said = messages.where(F.trim(F.translate("text", "\n\t\r", "   ")) != "").groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    first = said.select("conv_id", F.col("turn").alias("answers"), F.col("said").alias("one"))
+    second = said.select("conv_id", F.col("turn").alias("deeper"), F.col("said").alias("two"))
+    rows = messages.withColumn("answers", back("turn")).join(first, ["conv_id", "answers"], "left")
+    rows = rows.withColumn("deeper", F.when(F.col("one").isNotNull(), back("answers"))).join(second, ["conv_id", "deeper"], "left")
+    quoted = F.concat(F.coalesce(quote(F.col("two"), "> > "), F.lit("")), quote(F.col("one"), "> "), F.lit("\n"), "text")
+    return rows.select("conv_id", "turn", "role", F.coalesce(quoted, "text").alias("text"), F.when(F.col("one").isNotNull() & F.col("text").isNotNull(), F.col("answers")).alias("answers"))
 
 
 def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_quotes(table(spark, sf_dir, "conversations"))
+    """Every message of ``conversations``, written as a reply that quotes, linked to what it quotes and freed of it."""
+    rendered = materialise(spark, as_replies(table(spark, sf_dir, "conversations")), "quote-replies")
+    return link_quotes(rendered)
+
+
+#: The links that ``as_replies`` put into texts, for tables where no two messages of a conversation say the same.
+OP8_SQL = r"""
+with recursive told as (
+    select conv_id, turn, role, text, turn - 1 - case when (conv_id + turn) % 3 = 0 then 1 else 0 end as up from conversations
+), answered as (
+    select m.*, p.text as one, p.up as up2 from told m left join told p on p.conv_id = m.conv_id and p.turn = m.up and trim(p.text) <> '' and m.text is not null
+), quoting as (
+    select a.*, g.text as two from answered a left join told g on g.conv_id = a.conv_id and g.turn = a.up2 and trim(g.text) <> '' and a.one is not null
+), counted as (
+    select conv_id, turn, role, text as body, case when one is not null then up end as parent_turn,
+        coalesce(len(list_filter(regexp_split_to_array(one, '\n\s*\n'), lambda x: trim(x) <> '')), 0)
+        + coalesce(len(list_filter(regexp_split_to_array(two, '\n\s*\n'), lambda x: trim(x) <> '')), 0) as n_quotes
+    from quoting
+), tree as (
+    select conv_id, turn, 0 as depth, turn as thread_turn from counted where parent_turn is null
+    union all
+    select c.conv_id, c.turn, t.depth + 1, t.thread_turn from counted c join tree t on t.conv_id = c.conv_id and t.turn = c.parent_turn
+)
+select conv_id, turn, role, body, n_quotes, n_quotes as n_linked, parent_turn, cast(depth as bigint) as depth, thread_turn,
+    row_number() over (partition by conv_id order by thread_turn, turn) - 1 as position
+from counted join tree using (conv_id, turn)
+"""

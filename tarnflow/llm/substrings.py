@@ -410,3 +410,21 @@ def remove_duplicates(docs: DataFrame, width: int = WIDTH, with_text: bool = Tru
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_duplicates(table(spark, sf_dir, "documents"), with_text=False)
+
+
+#: Every window of 100 bytes by itself, for tables whose doc_ids are distinct.
+OP3_SQL = """
+with given as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+windows as (select doc_id, unnest(range(0, len(h) // 2 - 99)) as start, h from given where len(h) >= 200),
+keyed as (select doc_id, start, md5(substr(h, 2 * start + 1, 200)) as k from windows),
+ranked as (select doc_id, start, row_number() over (partition by k order by doc_id, start) as nth from keyed),
+later as (select doc_id, start, lag(start) over (partition by doc_id order by start) as before from ranked where nth > 1),
+runs as (select doc_id, start, sum(case when before is null or start > before + 100 then 1 else 0 end) over (partition by doc_id order by start) as run from later),
+spans as (select doc_id, run, min(start) as start, max(start) + 100 as stop from runs group by all),
+gaps as (select doc_id, stop, start, coalesce(lag(stop) over (partition by doc_id order by start), 0) as before from spans),
+kept as (select doc_id, count(*) as n_spans, sum(stop - start) as n_removed, max(stop) as last,
+    string_agg(substr(h, 2 * before + 1, 2 * (start - before)), '' order by start) as head from gaps join given using (doc_id) group by doc_id)
+select doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+    sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) as kept_sha256
+from given left join kept using (doc_id)
+"""
