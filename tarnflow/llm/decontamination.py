@@ -24,7 +24,7 @@ from .common import hold, materialise, table
 THRESHOLD, OVERLAP, GRAM, BLOCK = 0.5, 0.5, 3, 4
 K1, B = 1.2, 0.75
 #: Bytes of test items in one index that goes to tasks; more items make more indexes, each with its pass over the corpus.
-INDEX_BYTES = 1 << 19
+INDEX_BYTES = 8 << 20
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -52,8 +52,8 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], whole: tuple[int, float, int, dict[str, int]] | None = None):
         kept = sorted((i, t) for i, t in items if words(t or ""))
-        self.items = [i for i, _ in kept]
-        self.parts = [tuple(map(_grams, question_answer(t))) for _, t in kept]
+        self.items, self.texts = [i for i, _ in kept], [t for _, t in kept]
+        self.parts: dict[int, tuple] = {}
         counts = [Counter(words(t)) for _, t in kept]
         if whole is None:
             sizes = [sum(c.values()) for c in counts]
@@ -67,19 +67,27 @@ class Index:
             own = sum(raw.values())
             for w, x in raw.items():
                 postings[self.terms[w]].append((d, x / own))
-        self.docs = [np.array([d for d, _ in postings[t]]) for t in range(len(self.terms))]
+        self.docs = [np.array([d for d, _ in postings[t]], np.int32) for t in range(len(self.terms))]
         self.impacts = [np.array([x for _, x in postings[t]]) for t in range(len(self.terms))]
-        # one more row and column: a word of no item
-        blocks = -(-len(kept) // BLOCK)
-        self.block_bound = np.zeros((len(self.terms) + 1, max(1, blocks)), np.float32)
-        for t, (d, x) in enumerate(zip(self.docs, self.impacts, strict=True)):
-            np.maximum.at(self.block_bound[t], d // BLOCK, x.astype(np.float32))
-        self.bound = self.block_bound.max(1)
+        # the blocks of a term and its bound in each; one more term without any: a word of no item
+        self.n_blocks = max(1, -(-len(kept) // BLOCK))
+        self.blocks, self.block_bounds = [], []
+        for d, x in zip(self.docs, self.impacts, strict=True):
+            first = np.flatnonzero(np.r_[True, np.diff(d // BLOCK) > 0]) if len(d) else np.zeros(0, np.int64)
+            self.blocks.append(d[first] // BLOCK)
+            self.block_bounds.append(np.maximum.reduceat(x, first))
+        self.bound = np.array([*(x.max() for x in self.block_bounds), 0.0])
 
     def search(self, terms: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, float]]:
-        """All (item number, score) of at least ``threshold`` for the distinct ``terms``: block-max WAND."""
+        """All (item number, score) of at least ``threshold`` for the distinct ``terms``: block-max WAND.
+
+        What the blocks of all terms allow is summed once, so that lists skip to the next block that can pass.
+        """
         eps = 1e-6
-        passing = np.flatnonzero(self.block_bound[terms].sum(0) >= threshold - 1e-5) * BLOCK if len(terms) else []
+        if not len(terms):
+            return []
+        blocks, bounds = np.concatenate([self.blocks[t] for t in terms]), np.concatenate([self.block_bounds[t] for t in terms])
+        passing = np.flatnonzero(np.bincount(blocks, bounds, self.n_blocks) >= threshold - 1e-5) * BLOCK
         if not len(passing):
             return []
         lists = [(self.docs[t].tolist(), self.impacts[t], float(self.bound[t]), t) for t in terms]
@@ -142,6 +150,14 @@ class Index:
             if hits := self.search(distinct):
                 yield int(s), w[s : s + 2 * step], hits
 
+    def grams(self, d: int) -> tuple[set, set]:
+        """The word triples of an item's question and answer."""
+        if d not in self.parts:
+            if len(self.parts) > 2000:
+                self.parts.clear()
+            self.parts[d] = tuple(map(_grams, question_answer(self.texts[d])))
+        return self.parts[d]
+
     def verified(self, text: str) -> list[tuple[int, float, float, float, int]]:
         """(item_id, score, question overlap, answer overlap, first word of the passage), the best passage of each item."""
         best: dict[int, tuple] = {}
@@ -149,7 +165,7 @@ class Index:
             here = _grams(w) if len(w) >= GRAM else set()
             for d, score in hits:
                 share = []
-                for grams in self.parts[d]:
+                for grams in self.grams(d):
                     k = len(next(iter(grams))) if grams else GRAM
                     seen = here if k == GRAM else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
                     share.append(len(grams & seen) / len(grams) if grams else 1.0)
@@ -176,7 +192,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, ...) for each document that holds a test item, with its best passage.
 
     Null or empty texts of either side hold nothing; a repeated document gives its rows again, a repeated item its own;
-    rows with a null doc_id are searched too. Columns other than doc_id, text, item_id are ignored. Items go to tasks in
+    rows with a null doc_id are searched too; texts may be of any length; no rows of either side give no rows. Columns other than doc_id, text, item_id are ignored. Items go to tasks in
     indexes of at most about ``INDEX_BYTES``; weights and passages are those of all items, however many indexes there are.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
