@@ -60,7 +60,7 @@ def _lookup(values: np.ndarray):
 def shard(docs: DataFrame, shards: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for every row of ``docs``.
 
-    Equal texts share a shard unless they outweigh a range. A null text counts as empty for the key and the checksum,
+    Equal texts share a shard unless they outweigh a shard's equal part. A null text counts as empty for the key and the checksum,
     with size 16; repeated rows each get a slot; null ids are kept; no rows give no rows; other columns are ignored.
     The driver holds the splitters alone: ``RANGES_PER_SHARD`` a shard, or one a ``RANGE_BYTES``.
     """
@@ -78,10 +78,11 @@ def shard(docs: DataFrame, shards: int, text_col: str = "text", id_col: str = "d
     total = rows.agg(F.sum("size")).first()[0] or 0
     wanted = max(shards * RANGES_PER_SHARD, -(-total // RANGE_BYTES))
     limit = max(1, 2 * total // wanted)
-    # a key (a group of equal texts) over the limit cannot be cut by splitters; there are at most total / limit of them
+    # a key (a group of equal texts) over the limit cannot be cut by splitters; there are at most total / limit of them.
+    # Each is a range by itself, or several if it outweighs a whole shard
     heavy_rows = rows.groupBy("key").agg(F.sum("size").alias("b"), F.count("*").alias("n")).where((F.col("b") > limit) & (F.col("n") > 1)).orderBy("key").collect()
     heavy = np.array([r[0] for r in heavy_rows], dtype=np.int64)
-    parts = np.array([-(-r[1] * 2 // limit) for r in heavy_rows], dtype=np.int64)
+    parts = np.array([1 if r[1] * shards <= total else -(-r[1] * 2 // limit) for r in heavy_rows], dtype=np.int64)
     cuts = _quantiles(_sample(rows, wanted * DRAWS, total), wanted)
     for _ in range(4):
         placed = rows.withColumn("range", _ranges(cuts, heavy, parts)("key", "salt"))

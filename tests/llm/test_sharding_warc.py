@@ -80,3 +80,22 @@ def test_archive_round_trip(spark):
 def test_archive_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert read_archives(write_archives(pages, scratch_path(spark, "w"))).count() == 0
+
+
+def test_groups_up_to_a_shard_stay_whole(spark):
+    """A group of equal texts of 0.2 to 0.95 of a shard lies in one shard; only one over a shard is dealt out."""
+    rows = [(i, f"{i} " + "w" * (i * 37 % 300)) for i in range(4000)]
+    total, n = sum(len(t) + 16 for _, t in rows), 10_000
+    for k, share in enumerate((0.2, 0.5, 0.95)):
+        copy = "abc"[k] * 84
+        rows += [(n + i, copy) for i in range(int(share * total / 10 / 100))]
+        n += 10_000
+    rows += [(n + i, "z" * 84) for i in range(int(2.5 * total / 10 / 100))]
+    text_of = dict(rows)
+    got = shard(_docs(spark, rows).repartition(6), 12).collect()
+    homes, load = defaultdict(set), Counter()
+    for r in got:
+        homes[text_of[r.doc_id]].add(r.shard)
+        load[r.shard] += r["size"]
+    assert [t[0] for t, h in homes.items() if len(h) > 1] == ["z"]
+    assert max(load.values()) < 1.02 * sum(load.values()) / 12 and min(load.values()) > 0.98 * sum(load.values()) / 12
