@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .fitting import held_out, labelled_sample
+from .fitting import held_out, labelled_sample, logistic
 
 #: Labelled rows that a fit reads at most; trees, their depth, cuts tried for a statistic, least rows of a rule.
 SAMPLE_ROWS, TREES, DEPTH, CUTS, LEAST_ROWS = 8000, 60, 3, 32, 10
@@ -49,6 +49,8 @@ def statistics(text: Column) -> dict[str, Column]:
         "breaks": without("\n"),
         "wide": (F.octet_length(t) - F.length(t)) / chars,
         "longest_word": F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0)).cast("double"),
+        "short_words": F.size(F.filter(words, lambda w: F.length(w) <= 3)) / n,
+        "repeats": F.lit(1.0) - F.size(F.array_distinct(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)))) / n,
     }
 
 
@@ -143,7 +145,11 @@ class RuleEnsemble:
 
 
 def train(x: dict[str, np.ndarray], y: np.ndarray) -> RuleEnsemble:
-    """Rules from trees, then the lasso; the penalty with the least loss on every fourth row is used on all rows."""
+    """Rules from trees, then the lasso; the penalty with the least loss on every fourth row is used on all rows.
+
+    The lasso draws scores towards the share of all rows, so a line through the log odds of those fourth rows, which
+    neither rules nor weights have seen, calibrates them.
+    """
     if not 0 < y.sum() < len(y):
         share = (y.sum() + 0.5) / (len(y) + 1)
         return RuleEnsemble(math.log(share / (1 - share)), [])
@@ -161,14 +167,19 @@ def train(x: dict[str, np.ndarray], y: np.ndarray) -> RuleEnsemble:
         share = (y.sum() + 0.5) / (len(y) + 1)
         return RuleEnsemble(math.log(share / (1 - share)), [])
     a = np.column_stack([on for _, on in kept]).astype(float)
-    best, w = (math.inf, 0.0), None
+    best, w, line = (math.inf, 0.0), None, (0.0, 1.0)
     for penalty in (0.02, 0.01, 0.005, 0.0025, 0.001, 0.0005):
         w = lasso_logistic(a[~check], y[~check], penalty, w)
         if check.any():
             p = np.clip(1 / (1 + np.exp(-(w[0] + a[check] @ w[1:]))), 1e-6, 1 - 1e-6)
-            best = min(best, (-(y[check] * np.log(p) + (1 - y[check]) * np.log(1 - p)).mean(), penalty))
+            loss = -(y[check] * np.log(p) + (1 - y[check]) * np.log(1 - p)).mean()
+            if loss < best[0]:
+                best = loss, penalty
+                z = w[0] + a[check] @ w[1:]
+                fitted = logistic(z[:, None], y[check], ridge=0.1) if 0 < y[check].sum() < check.sum() else line
+                line = tuple(fitted) if fitted[1] > 0 else line
     w = lasso_logistic(a, y, best[1] or 0.005)
-    return RuleEnsemble(float(w[0]), [(r, float(v)) for (r, _), v in zip(kept, w[1:], strict=True) if v])
+    return RuleEnsemble(float(line[0] + line[1] * w[0]), [(r, float(line[1] * v)) for (r, _), v in zip(kept, w[1:], strict=True) if v])
 
 
 def with_statistics(docs: DataFrame, keep: list) -> DataFrame:
@@ -185,7 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> RuleEnse
 
 
 def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
-    """(doc_id, score) of every row; a null text counts as empty; only ``doc_id`` and ``text`` are read."""
+    """(doc_id, score) of every row; a null text counts as empty; only ``doc_id`` and ``text`` are read.
+
+    Whole texts are read, of any length; equal texts have equal scores, so repeated rows and ties score alike; a null
+    doc_id is kept; other columns are ignored, whatever their names; no rows give no rows.
+    """
     return with_statistics(docs, ["doc_id"]).select("doc_id", model.column().alias("score"))
 
 

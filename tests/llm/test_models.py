@@ -106,3 +106,83 @@ def test_sample_is_bounded_and_never_held_out(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(2000)], "doc_id long, quality int, toxic int")
     got = labelled_sample(docs, labels, "quality", 300, ["text"]).collect()
     assert 200 < len(got) <= 300 and all(zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r["_label"] == r.doc_id % 2 for r in got)
+
+
+def test_rule_column_equals_rules_in_numpy(spark):
+    """The compiled column gives each row, whatever its columns, the score of the rules evaluated one by one."""
+    rng = random.Random(15)
+    texts = [" ".join(_words(rng, rng.randint(0, 60))) for _ in range(300)]
+    texts = [("### !! " * (i % 7) + t) if i % 3 == 0 else t.upper() if i % 11 == 0 else t for i, t in enumerate(texts)] + ["", None, "a" * 3_000_000, "x\ny\n\n x", texts[0]]
+    docs = spark.createDataFrame([(i, t, "k", 1.0) for i, t in enumerate(texts)], "doc_id long, text string, words string, chars double")
+    rows = Q.with_statistics(docs, ["doc_id"]).collect()
+    names = list(Q.statistics(docs.text))
+    x = {n: np.array([r[n] for r in rows]) for n in names}
+    y = np.array([float("#" in (t or "") or (t or "").isupper()) for t in texts])
+    model = Q.train(x, y)
+    assert model.rules
+    z = model.intercept + sum(w * np.all([(x[s] > c) if above else (x[s] <= c) for s, above, c in r.parts], axis=0) for r, w in model.rules)
+    got = {r.doc_id: r.score for r in Q.score(docs, model).collect()}
+    assert np.allclose([got[r.doc_id] for r in rows], 1 / (1 + np.exp(-z)), atol=1e-12)
+    assert got[0] == got[len(texts) - 1] and got[300] == got[301]
+    assert Q.score(docs.limit(0), model).count() == 0
+
+
+def test_statistics_by_hand(spark):
+    t = "Ab cd ab,\ncd ab! ééé 12\n\nAb cd ab,"
+    r = Q.with_statistics(spark.createDataFrame([(1, t)], "doc_id long, text string"), ["doc_id"]).first()
+    words = t.split()
+    pairs = list(zip(words, words[1:], strict=False))
+    assert (r["chars"], r["words"], r["longest_word"]) == (len(t), len(words), 3)
+    assert r["distinct_words"] == len(set(words)) / len(words) and r["distinct_lines"] == 2 / 3
+    assert r["short_words"] == sum(len(w) <= 3 for w in words) / len(words)
+    assert np.isclose(r["repeats"], 1 - len({*pairs, (words[-1],)}) / len(words))
+    assert r["digits"] == 2 / len(t) and np.isclose(r["wide"], 3 / len(t)) and r["exclaim"] == 1 / len(t)
+
+
+def test_lasso_is_optimal():
+    """Zero weights have a gradient within the penalty, others one of just the penalty against their sign."""
+    rng = np.random.default_rng(3)
+    a = (rng.random((400, 25)) < 0.3).astype(float)
+    y = (a[:, 0] + a[:, 1] - a[:, 2] + rng.normal(0, 0.5, 400) > 0.5).astype(float)
+    w = Q.lasso_logistic(a, y, 0.01, rounds=20_000)
+    g = a.T @ (1 / (1 + np.exp(-(w[0] + a @ w[1:]))) - y) / len(y)
+    on = w[1:] != 0
+    assert 0 < on.sum() < 25 and np.all(np.abs(g[~on]) <= 0.01 + 1e-5) and np.allclose(g[on], -0.01 * np.sign(w[1:][on]), atol=1e-4)
+
+
+def test_windows_by_plain_compression(spark):
+    """Each window's lengths are those that a fresh compressor with the same dictionary gives, on repeats and long texts too."""
+    rng = random.Random(16)
+    bad = ["vexgrumble", "zoqhatter"]
+    texts = [" ".join(_words(rng, 40) + ([rng.choice(bad)] * 3 if i % 3 == 0 else [])) for i in range(240)]
+    model = X.train(texts, [int(i % 3 == 0) for i in range(240)])
+    long = " ".join(_words(rng, 300_000))
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[1]), (3, None), (4, ""), (None, texts[3]), (5, long)]
+    docs = spark.createDataFrame([(i, t, 0.5, "x") for i, t in rows], "doc_id long, text string, score double, data string")
+    got = X.score(docs, model, "_s").collect()
+    assert all(r.score == 0.5 and r.data == "x" for r in got) and len(got) == len(rows)
+    for r in got:
+        w = (r.text or "").lower().split()
+        d = []
+        for i in range(0, len(w), X.WINDOW_WORDS):
+            body = X._MARK + b" " + " ".join(w[i : i + X.WINDOW_WORDS]).encode() + b" "
+            if i < 4000:
+                d.append(len(X._compressor(model.ordinary).compress(body)) - len(X._compressor(model.toxic).compress(body)))
+        if len(w) < 4000:
+            top = sorted(d, reverse=True)[:3]
+            hits = [sum(x >= k for x in d) for k in (2, 3, 4, 5)]
+            f = [min(top[0], 8), np.mean(d), np.mean(top), hits[0] / len(d), hits[1] / len(d), *np.log1p(hits[1:]), np.log1p(sum(max(x - 1, 0) for x in d))] if d else [0.0] * 9
+            z = model.weights[0] + ((np.array(f) - model.centre) / model.scale) @ model.weights[1:]
+            assert np.isclose(r["_s"], 1 / (1 + np.exp(-z)), atol=1e-9)
+    assert X.score(docs.limit(0), model).count() == 0
+
+
+def test_leaks_in_very_long_and_tied_texts(spark):
+    rng = random.Random(17)
+    items = [(i, " ".join(_words(rng, 20)).capitalize() + ". " + " ".join(_words(rng, 7)) + ".") for i in range(30)] + [(99, None)]
+    items.append((50, items[4][1]))  # two items of one text
+    long = " ".join(_words(rng, 150_000)) + " " + items[4][1] + " " + " ".join(_words(rng, 150_000))
+    docs = spark.createDataFrame([(1, long, 7.0), (2, long[:2_000_000], 7.0), (3, items[2][1], 7.0)], "doc_id long, text string, score double")
+    got = sorted((r.doc_id, r.item_id) for r in D.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    want = sorted((r[0], i) for r in docs.collect() for i, t in items if t and t in r[1])
+    assert got == want and (1, 50) in got and (3, 2) in got
