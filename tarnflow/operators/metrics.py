@@ -115,8 +115,6 @@ def schoener_d(df: DataFrame, key: str, x: str, y: str, presence, bins: int = 20
     return cells.select(key, F.abs(part("p") - part("b")).alias("d")).groupBy(key).agg((1.0 - 0.5 * F.sum("d")).alias("overlap"))
 
 
-
-
 def _moments(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     keep = df
@@ -181,27 +179,6 @@ def equivalence_groups(pairs: Sequence[tuple[str, str]], predictors: Sequence[st
     return {p: names.setdefault(find(p), f"eq{len(names) + 1:03d}") for p in predictors}
 
 
-def response_curve(df: DataFrame, key: str, predictor: str, response: str, bins: int = 10) -> DataFrame:
-    """(key, bin, centre, mean_response, n): mean response over equal-count bins of a predictor."""
-    rows = df.where(finite(predictor).isNotNull() & finite(response).isNotNull())
-    at = F.ntile(bins).over(Window.partitionBy(key).orderBy(predictor, response))
-    return rows.withColumn("bin", at).groupBy(key, "bin").agg(F.avg(predictor).alias("centre"), F.avg(response).alias("mean_response"), F.count("*").alias("n"))
-
-
-def response_summary(curve: DataFrame, key: str) -> DataFrame:
-    """(key, optimum, lower, upper, span): the best bin's centre, and the centres at half its response or more."""
-    top = F.max("mean_response").over(Window.partitionBy(key))
-    half = curve.withColumn("top", top).where(F.col("mean_response") >= F.col("top") / 2)
-    best = F.min(F.when(F.col("mean_response") >= F.col("top") - TOLERANCE, F.struct("bin", "centre")))
-    return half.groupBy(key).agg(best["centre"].alias("optimum"), F.min("centre").alias("lower"), F.max("centre").alias("upper")).withColumn("span", F.col("upper") - F.col("lower"))
-
-
-def scaled_error(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """(key, nrmse): root mean square difference of two columns over the first one's range."""
-    span = F.max(a) - F.min(a)
-    return df.groupBy(key).agg((F.sqrt(F.avg((F.col(a) - F.col(b)) ** 2)) / F.nullif(span, F.lit(0.0))).alias("nrmse"))
-
-
 def density_weights(df: DataFrame, key: str, p, cap_quantile: float = 0.99) -> DataFrame:
     """``df`` with ``weight``: inverse odds of ``p`` capped at a key's quantile, with mean one."""
     from tarnflow.functions.values import odds
@@ -215,18 +192,3 @@ def density_weights(df: DataFrame, key: str, p, cap_quantile: float = 0.99) -> D
 def effective_size(df: DataFrame, key: str, weight: str = "weight") -> DataFrame:
     """(key, n, effective_size): (sum w)^2 / sum w^2."""
     return df.groupBy(key).agg(F.count("*").alias("n"), (F.sum(weight) ** 2 / F.sum(F.col(weight) ** 2)).alias("effective_size"))
-
-
-def niche_profile(df: DataFrame, key: str, axes: Sequence[str], presence) -> DataFrame:
-    """(key, centroid_distance, breadth_error): of presence rows in axes scaled by the background.
-
-    The distance is the root mean square of standardised mean differences; the error is the mean absolute log ratio of
-    standard deviations.
-    """
-    rows = df.withColumn("_p", presence)
-    for a in axes:
-        rows = rows.where(finite(a).isNotNull())
-    stats = rows.groupBy(key).agg(*[f(F.when(k, F.col(a))).alias(f"{n}_{s}_{a}") for a in axes for n, k in (("p", F.col("_p")), ("b", ~F.col("_p"))) for f, s in ((F.avg, "m"), (F.stddev_pop, "s"))])
-    shift = sum((((F.col(f"p_m_{a}") - F.col(f"b_m_{a}")) / F.nullif(F.col(f"b_s_{a}"), F.lit(0.0))) ** 2 for a in axes), F.lit(0.0))
-    wide = sum((F.abs(F.ln(F.col(f"p_s_{a}") / F.nullif(F.col(f"b_s_{a}"), F.lit(0.0)))) for a in axes), F.lit(0.0))
-    return stats.select(key, F.sqrt(shift / len(axes)).alias("centroid_distance"), (wide / len(axes)).alias("breadth_error"))

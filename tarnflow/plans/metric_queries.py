@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnflow.operators import metrics as M
+from tarnflow.operators import responses as R
 from tarnflow.operators.audits import spearman_matrices
 
 from .adapters import environment, scores
@@ -82,22 +83,74 @@ def _(spark, sf):
     return rounded(M.schoener_d(environment(spark, sf), "species", "e0", "e1", F.col("e2") > 0))
 
 
-@register("response_curve", f"SELECT species, bin, {r('avg(e0)', 'centre')}, {r('avg(e1)', 'mean_response')}, count(*) AS n FROM (SELECT species, e0, e1, CAST(ntile(10) OVER (PARTITION BY species ORDER BY e0, e1) AS INT) AS bin FROM env) GROUP BY species, bin")
+#: A predictor's rows by the bins between its quantiles, and the curve over them.
+_CURVE = """l AS (SELECT species, 'e0' AS predictor, e0 AS x, abs(e1) AS s FROM env UNION ALL SELECT species, 'e4', e4, abs(e1) FROM env UNION ALL SELECT species, 'e5', round(e5, 1), abs(e1) FROM env),
+  d AS (SELECT species, predictor, list_sort(list_distinct(quantile_cont(x, [i / 20.0::DOUBLE FOR i IN range(21)]))) AS e FROM l GROUP BY ALL),
+  b AS (SELECT species, predictor, x, s, len(list_filter(e[2:-2], lambda v: v <= x)) AS bin FROM l JOIN d USING (species, predictor) WHERE len(e) >= 3),
+  c AS (SELECT species, predictor, CAST(bin AS INT) AS bin, avg(x) AS centre, avg(s) AS mean_response, count(*) AS n FROM b GROUP BY ALL)"""
+_RESPONSES = ["e0", "e4", "e5"]
+
+
+def _responses(spark, sf):
+    return environment(spark, sf).withColumn("a", F.abs("e1")).withColumn("e5", F.round("e5", 1))
+
+
+@register("response_curve", f"WITH {_CURVE} SELECT species, predictor, bin, {r('centre', 'centre')}, {r('mean_response', 'mean_response')}, n FROM c")
+def _(spark, sf):
+    return rounded(R.response_curve(_responses(spark, sf), "species", _RESPONSES, "a"))
+
+
+_PROFILE = _CURVE + """,
+  t AS (SELECT species, predictor, count(*) AS n, min(x) AS lo, max(x) AS hi, sum(s) AS w, sum(s * x) / sum(s) AS centre FROM l GROUP BY ALL),
+  v AS (SELECT species, predictor, sqrt(sum(s * pow(x - centre, 2)) / any_value(w)) AS breadth FROM l JOIN t USING (species, predictor) GROUP BY ALL),
+  g AS (SELECT species, predictor, x, sum(s) AS w FROM l WHERE s > 0 GROUP BY ALL),
+  m AS (SELECT species, predictor, x, (sum(w) OVER (PARTITION BY species, predictor ORDER BY x ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY species, predictor) AS c FROM g),
+  z AS (SELECT *, lead(x) OVER k AS x2, lead(c) OVER k AS c2, row_number() OVER k AS i FROM m WINDOW k AS (PARTITION BY species, predictor ORDER BY x)),
+  q AS (SELECT species, predictor, q, CASE WHEN x2 IS NULL OR q < c THEN x ELSE x + (q - c) / (c2 - c) * (x2 - x) END AS value FROM z, (VALUES (0.05::DOUBLE), (0.95::DOUBLE)) t(q) WHERE (i = 1 AND q < c) OR (x2 IS NULL AND q >= c) OR (c <= q AND q < c2)),
+  ql AS (SELECT species, predictor, min(value) AS lower_limit, max(value) AS upper_limit FROM q GROUP BY ALL),
+  o AS (SELECT species, predictor, arg_min(centre, bin) AS optimum, any_value(nb) AS n_bins FROM (SELECT *, max(round(mean_response, 12)) OVER p AS top, count(*) OVER p AS nb FROM c WINDOW p AS (PARTITION BY species, predictor)) WHERE round(mean_response, 12) = top GROUP BY ALL),
+  kr AS (SELECT species, predictor, rank() OVER (PARTITION BY species, predictor ORDER BY centre) AS a, rank() OVER (PARTITION BY species, predictor ORDER BY round(mean_response, 12)) + (count(*) OVER (PARTITION BY species, predictor, round(mean_response, 12)) - 1) / 2.0::DOUBLE AS b FROM c),
+  rc AS (SELECT species, predictor, CASE WHEN count(*) >= 3 THEN corr(a, b) END AS rank_correlation FROM kr GROUP BY ALL),
+  ds AS (SELECT species, predictor, bin, sign(round(mean_response, 12) - lag(round(mean_response, 12)) OVER (PARTITION BY species, predictor ORDER BY bin)) AS d FROM c),
+  dt AS (SELECT species, predictor, CASE WHEN d <> lag(d) OVER (PARTITION BY species, predictor ORDER BY bin) THEN 1 ELSE 0 END AS t FROM ds WHERE d <> 0),
+  dc AS (SELECT species, predictor, CAST(sum(t) AS BIGINT) AS changes FROM dt GROUP BY ALL),
+  f AS (SELECT * FROM t JOIN v USING (species, predictor) JOIN ql USING (species, predictor) LEFT JOIN o USING (species, predictor) LEFT JOIN rc USING (species, predictor) LEFT JOIN dc USING (species, predictor))"""
+
+
+@register("response_profile", f"""WITH {_PROFILE} SELECT species, predictor, n, {r('lo', 'environment_min')}, {r('hi', 'environment_max')}, {r('centre', 'niche_centre')}, {r('breadth', 'niche_breadth')}, {r('lower_limit', 'lower_limit')}, {r('upper_limit', 'upper_limit')},
+  {r('optimum', 'optimum')}, {r('rank_correlation', 'rank_correlation')}, coalesce(changes, 0) AS direction_changes, coalesce(n_bins, 0) AS n_bins FROM f""")
+def _(spark, sf):
+    return rounded(R.response_profile(_responses(spark, sf), "species", _RESPONSES, "a"))
+
+
+@register("response_estimates", f"WITH {_PROFILE} SELECT species, predictor, {r('coalesce(optimum, centre)', 'optimum')}, {r('lower_limit', 'lower')}, {r('upper_limit', 'upper')}, {r('hi - lo', 'span')} FROM f")
+def _(spark, sf):
+    return rounded(R.response_estimates(R.response_profile(_responses(spark, sf), "species", _RESPONSES, "a"), "species"))
+
+
+@register("selector_ranges")
 def _(spark, sf):
-    return rounded(M.response_curve(environment(spark, sf), "species", "e0", "e1"))
+    """The profiles by two responses of the same rows; every axis of the environment."""
+    env, axes = environment(spark, sf).withColumn("a", F.abs("e1")).withColumn("b", F.abs("e2")), [f"e{i}" for i in range(8)]
+    return rounded(R.selector_ranges(*(R.response_profile(env, "species", axes, s) for s in "ab"), "species"))
 
 
-@register("response_estimates", f"""WITH c AS (SELECT species, bin, avg(e0) AS x, avg(abs(e1)) AS y FROM (SELECT species, e0, e1, ntile(10) OVER (PARTITION BY species ORDER BY e0, abs(e1)) AS bin FROM env) GROUP BY species, bin),
-  h AS (SELECT *, max(y) OVER (PARTITION BY species) AS top FROM c)
-  SELECT species, {r('arg_min(x, bin) FILTER (WHERE y >= top - 1e-12)', 'optimum')}, {r('min(x)', 'lower')}, {r('max(x)', 'upper')}, {r('max(x) - min(x)', 'span')} FROM h WHERE y >= top / 2 GROUP BY species""")
+@register("scaled_error", f"""WITH u AS (SELECT species, coalesce((e0 - min(e0) OVER p) / nullif(max(e0) OVER p - min(e0) OVER p, 0), 0) AS a, coalesce((e1 - min(e1) OVER p) / nullif(max(e1) OVER p - min(e1) OVER p, 0), 0) AS b FROM env WINDOW p AS (PARTITION BY species))
+  SELECT species, {r('CASE WHEN count(*) >= 5 THEN sqrt(avg(pow(a - b, 2))) END', 'nrmse')} FROM u GROUP BY species""")
 def _(spark, sf):
-    curve = M.response_curve(environment(spark, sf).withColumn("a", F.abs("e1")), "species", "e0", "a")
-    return rounded(M.response_summary(curve, "species"))
+    return rounded(R.scaled_error(environment(spark, sf), "species", "e0", "e1"))
 
 
-@register("scaled_error", f"SELECT species, {r('sqrt(avg(pow(e0 - e1, 2))) / nullif(max(e0) - min(e0), 0)', 'nrmse')} FROM env GROUP BY species")
+@register("surface_stability", f"""WITH s AS (SELECT species, vec_id AS place, 0 AS member, e0 AS v FROM env UNION ALL SELECT species, vec_id, 1, e0 + e1 FROM env UNION ALL SELECT species, vec_id, 2, round(e0 * 0.5, 1) FROM env UNION ALL SELECT species, vec_id, 3, 0.25 FROM env),
+  p AS (SELECT a.species, a.member AS i, b.member AS j, a.v AS x, b.v AS y FROM s a JOIN s b ON a.species = b.species AND a.place = b.place AND a.member < b.member),
+  k AS (SELECT species, i, j, x, y, rank() OVER (g ORDER BY x) + (count(*) OVER (PARTITION BY species, i, j, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (g ORDER BY y) + (count(*) OVER (PARTITION BY species, i, j, y) - 1) / 2.0::DOUBLE AS ry,
+    coalesce((x - min(x) OVER g) / nullif(max(x) OVER g - min(x) OVER g, 0), 0) AS ux, coalesce((y - min(y) OVER g) / nullif(max(y) OVER g - min(y) OVER g, 0), 0) AS uy FROM p WINDOW g AS (PARTITION BY species, i, j)),
+  e AS (SELECT species, i, j, CASE WHEN max(x) = min(x) OR max(y) = min(y) THEN 0 ELSE corr(rx, ry) END AS rk, sqrt(avg(pow(ux - uy, 2))) AS e FROM k GROUP BY ALL HAVING count(*) >= 5)
+  SELECT species, count(*) AS n_pairs, {r('avg(rk)', 'rank_mean')}, {r('min(rk)', 'rank_min')}, {r('avg(e)', 'nrmse_mean')}, {r('max(e)', 'nrmse_max')} FROM e GROUP BY species""")
 def _(spark, sf):
-    return rounded(M.scaled_error(environment(spark, sf), "species", "e0", "e1"))
+    env = environment(spark, sf)
+    members = F.array(F.col("e0"), F.col("e0") + F.col("e1"), F.round(F.col("e0") * 0.5, 1), F.lit(0.25))
+    return rounded(R.surface_stability(env.select("species", F.col("vec_id").alias("place"), F.posexplode(members).alias("member", "v")), "species", "member", "place", "v"))
 
 
 @register("effective_size", f"""WITH o AS (SELECT species, (1 - p) / p AS w FROM (SELECT species, least(greatest(abs(e0) * 2, 1e-6), 1 - 1e-6) AS p FROM env)),
@@ -108,11 +161,39 @@ def _(spark, sf):
     return rounded(M.effective_size(weighted, "species"), 4)
 
 
-@register("niche_profile", f"""WITH s AS (SELECT species, avg(e0) FILTER (WHERE e2 > 0) AS p0, avg(e0) FILTER (WHERE NOT e2 > 0) AS b0, stddev_pop(e0) FILTER (WHERE e2 > 0) AS q0, stddev_pop(e0) FILTER (WHERE NOT e2 > 0) AS d0,
-    avg(e1) FILTER (WHERE e2 > 0) AS p1, avg(e1) FILTER (WHERE NOT e2 > 0) AS b1, stddev_pop(e1) FILTER (WHERE e2 > 0) AS q1, stddev_pop(e1) FILTER (WHERE NOT e2 > 0) AS d1 FROM env GROUP BY species)
-  SELECT species, {r('sqrt((pow((p0 - b0) / d0, 2) + pow((p1 - b1) / d1, 2)) / 2)', 'centroid_distance')}, {r('(abs(ln(q0 / d0)) + abs(ln(q1 / d1))) / 2', 'breadth_error')} FROM s""")
+def _niche(spark, sf, axes):
+    env = environment(spark, sf).withColumn("w", F.abs("e3") + 0.01)
+    return R.niche_recovery(env.where("e2 <= 0"), env.where("e2 > 0"), "species", axes, "w")
+
+
+#: Two standardised axes with correlation c have the principal axes (1, sign c) and (1, -sign c), of 1 + |c| and 1 - |c|.
+@register("niche_profile", f"""WITH b AS (SELECT species, count(*) AS n, avg(e0) AS m0, avg(e1) AS m1, stddev_pop(e0) AS s0, stddev_pop(e1) AS s1, corr(e0, e1) AS c FROM env WHERE e2 <= 0 GROUP BY species),
+  z AS (SELECT env.species, e2 <= 0 AS ref, CASE WHEN e2 <= 0 THEN abs(e3) + 0.01 ELSE 1 END AS w, n, c, (e0 - m0) / s0 AS a, (e1 - m1) / s1 AS d FROM env JOIN b USING (species)),
+  k AS (SELECT species, ref, w, (a + sign(c) * d) / sqrt(2 * (1 + abs(c)) * n / (n - 1)) AS x, (a - sign(c) * d) / sqrt(2 * (1 - abs(c)) * n / (n - 1)) AS y FROM z),
+  l AS (SELECT species, ref, w, 0 AS axis, x AS v FROM k UNION ALL SELECT species, ref, w, 1, y FROM k),
+  s AS (SELECT species, axis, ref, sum(w * v) / sum(w) AS m, sqrt(sum(w * v * v) / sum(w) - pow(sum(w * v) / sum(w), 2)) AS sd FROM l GROUP BY ALL),
+  f AS (SELECT p.species, sqrt(avg(pow(p.m - o.m, 2))) AS centroid_distance, avg(abs(ln((p.sd + 1e-8) / (o.sd + 1e-8)))) AS breadth_error FROM s p JOIN s o USING (species, axis) WHERE p.ref AND NOT o.ref GROUP BY p.species),
+  g AS (SELECT species, axis, v, sum(w) AS w FROM l WHERE ref GROUP BY ALL),
+  h AS (SELECT species, axis, v, (sum(w) OVER (PARTITION BY species, axis ORDER BY v ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY species, axis) AS c FROM g),
+  i AS (SELECT *, lead(v) OVER t AS v2, lead(c) OVER t AS c2, row_number() OVER t AS i FROM h WINDOW t AS (PARTITION BY species, axis ORDER BY v)),
+  q AS (SELECT species, axis, q, CASE WHEN v2 IS NULL OR q < c THEN v ELSE v + (q - c) / (c2 - c) * (v2 - v) END AS pv FROM i, (VALUES (0.05::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (0.95::DOUBLE)) t(q) WHERE (i = 1 AND q < c) OR (v2 IS NULL AND q >= c) OR (c <= q AND q < c2)),
+  o AS (SELECT species, axis, unnest([0.05::DOUBLE, 0.25, 0.5, 0.75, 0.95]) AS q, unnest(v) AS ov FROM (SELECT species, axis, quantile_cont(v, [0.05, 0.25, 0.5, 0.75, 0.95]) AS v FROM l WHERE NOT ref GROUP BY ALL)),
+  e AS (SELECT species, sqrt(avg(pow(pv - ov, 2))) AS quantile_error FROM q JOIN o USING (species, axis, q) GROUP BY species),
+  w AS (SELECT species, axis, min(pv) AS lo, max(pv) AS hi FROM q WHERE q IN (0.05, 0.95) GROUP BY ALL),
+  j AS (SELECT k.species, avg(CASE WHEN x BETWEEN a.lo AND a.hi AND y BETWEEN d.lo AND d.hi THEN 1.0 ELSE 0.0 END) AS coverage90 FROM k JOIN w a ON a.species = k.species AND a.axis = 0 JOIN w d ON d.species = k.species AND d.axis = 1 WHERE NOT ref GROUP BY k.species),
+  n AS (SELECT species, min(x) AS x0, max(x) - min(x) AS xr, min(y) AS y0, max(y) - min(y) AS yr, sum(w) FILTER (WHERE ref) AS tp, sum(w) FILTER (WHERE NOT ref) AS tq, count(*) FILTER (WHERE ref) AS n_reference, count(*) FILTER (WHERE NOT ref) AS n_sealed FROM k GROUP BY species),
+  m AS (SELECT species, abs(coalesce(sum(w) FILTER (WHERE ref), 0) / any_value(tp) - coalesce(sum(w) FILTER (WHERE NOT ref), 0) / any_value(tq)) AS d FROM k JOIN n USING (species) GROUP BY species, least(floor((x - x0 + 1e-9 * xr) / (xr + 2e-9 * xr) * 20), 19), least(floor((y - y0 + 1e-9 * yr) / (yr + 2e-9 * yr) * 20), 19)),
+  u AS (SELECT species, 1 - 0.5 * sum(d) AS overlap FROM m GROUP BY species)
+  SELECT species, CAST(2 AS INT) AS n_components, n_reference, n_sealed, {r('overlap', 'overlap')}, {r('centroid_distance', 'centroid_distance')}, {r('breadth_error', 'breadth_error')}, {r('quantile_error', 'quantile_error')}, {r('coverage90', 'coverage90')}
+  FROM n JOIN u USING (species) JOIN f USING (species) JOIN e USING (species) JOIN j USING (species)""")
+def _(spark, sf):
+    return rounded(_niche(spark, sf, ["e0", "e1"]))
+
+
+@register("niche_recovery")
 def _(spark, sf):
-    return rounded(M.niche_profile(environment(spark, sf), "species", ["e0", "e1"], F.col("e2") > 0))
+    """Four principal axes of all eight of the environment."""
+    return rounded(_niche(spark, sf, [f"e{i}" for i in range(8)]))
 
 
 @register("variance_inflation")

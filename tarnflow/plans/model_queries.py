@@ -10,7 +10,6 @@ from tarnflow.operators import partitions as P
 from .adapters import environment, metrics, occurrences
 from .occurrence_queries import r, register, rounded
 
-_FEATURES = [f"e{i}" for i in range(6)]
 
 
 def _cells(spark, sf):
@@ -26,7 +25,7 @@ def _(spark, sf):
 
 @register("forward_selection")
 def _(spark, sf):
-    got = L.forward_selection(_cells(spark, sf), "all", F.col("y"), ["all"], _FEATURES, [0, 1, 2], L.ModelSpec(), most=3)
+    got = L.forward_selection(_cells(spark, sf), "all", F.col("y"), ["all"], [f"e{i}" for i in range(8)], [0, 1, 2], L.ModelSpec())
     return spark.createDataFrame(got, "taxon string, step int, predictor string, score double, gain double")
 
 
@@ -88,15 +87,4 @@ def _(spark, sf):
     from tarnflow.operators.procedures import method_benchmark
 
     rows = _cells(spark, sf).withColumn("role", F.when(F.col("vec_id") % 5 == 0, "sealed").otherwise("model"))
-    return method_benchmark(rows, "all", F.col("y"), ["all"], ["e0", "e1", "e2", "e3"], [0, 1, 2], L.ModelSpec(), repeats=1, most=2)
-
-
-@register("surface_stability", f"""WITH s AS (SELECT species, vec_id AS place, 0 AS member, e0 AS v FROM env UNION ALL SELECT species, vec_id, 1, e0 + e1 FROM env UNION ALL SELECT species, vec_id, 2, e0 * 0.5 FROM env),
-  p AS (SELECT a.species, sqrt(avg(pow(a.v - b.v, 2))) / nullif(max(a.v) - min(a.v), 0) AS e FROM s a JOIN s b ON a.species = b.species AND a.place = b.place AND a.member < b.member GROUP BY a.species, a.member, b.member)
-  SELECT species, count(*) AS n_pairs, {r('avg(e)', 'mean_nrmse')}, {r('max(e)', 'worst_nrmse')} FROM p GROUP BY species""")
-def _(spark, sf):
-    from tarnflow.operators.procedures import surface_stability
-
-    env = environment(spark, sf)
-    rows = env.select("species", F.col("vec_id").alias("place"), F.posexplode(F.array(F.col("e0"), F.col("e0") + F.col("e1"), F.col("e0") * 0.5)).alias("member", "v"))
-    return rounded(surface_stability(rows, "species", "member", "place", "v"))
+    return method_benchmark(rows, "all", F.col("y"), ["all"], [f"e{i}" for i in range(8)], [0, 1, 2], L.ModelSpec())

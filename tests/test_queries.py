@@ -33,7 +33,7 @@ def test_query_equals_sql(spark, duck, name):
     assert _sorted(tuple(r) for r in got.select(*names).collect()) == _sorted(want.select(*[f'"{n}"' for n in names]).fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"logistic_scores", "forward_selection", "drop_one_importance", "method_benchmark"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_runs(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
