@@ -22,13 +22,17 @@ THRESHOLD = 0.7
 _SYMBOLS = "#*$%&@^~=+<>{}[]\\_"
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """The statistics that rules speak of; shares are of characters, words or lines, 0 for an empty text."""
+def _parts(text: Column) -> tuple[Column, Column, Column]:
+    """The text without nulls, its words and its lines."""
     t = F.coalesce(text, F.lit(""))
+    return t, F.filter(F.split(F.translate(t, "\n\t\r", "   "), " "), lambda w: w != ""), F.filter(F.split(t, "\n"), lambda x: x != "")
+
+
+def statistics(text: Column, parts: tuple[Column, Column, Column] | None = None) -> dict[str, Column]:
+    """The statistics that rules speak of; shares are of characters, words or lines, 0 for an empty text."""
+    t, words, lines = parts or _parts(text)
     chars = F.greatest(F.length(t), F.lit(1)).cast("double")
-    words = F.filter(F.split(F.translate(t, "\n\t\r", "   "), " "), lambda w: w != "")
     n = F.greatest(F.size(words), F.lit(1)).cast("double")
-    lines = F.filter(F.split(t, "\n"), lambda x: x != "")
     m = F.greatest(F.size(lines), F.lit(1)).cast("double")
     without = lambda s: (F.length(t) - F.length(F.translate(t, s, ""))) / chars
     return {
@@ -183,7 +187,10 @@ def train(x: dict[str, np.ndarray], y: np.ndarray) -> RuleEnsemble:
 
 
 def with_statistics(docs: DataFrame, keep: list) -> DataFrame:
-    return docs.select(*keep, *[c.cast("double").alias(n) for n, c in statistics(F.col("text")).items()])
+    """``keep`` and the statistics; words and lines are columns of their own first, so that each row is split once."""
+    split = docs.select(*keep, *[c.alias(n) for c, n in zip(_parts(F.col("text")), ("_text", "_words", "_lines"), strict=True)])
+    made = statistics(F.col("_text"), (F.col("_text"), F.col("_words"), F.col("_lines")))
+    return split.select(*keep, *[c.cast("double").alias(n) for n, c in made.items()])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> RuleEnsemble:
