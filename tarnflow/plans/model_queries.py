@@ -88,3 +88,17 @@ def _(spark, sf):
 
     rows = _cells(spark, sf).withColumn("role", F.when(F.col("vec_id") % 5 == 0, "sealed").otherwise("model"))
     return method_benchmark(rows, "all", F.col("y"), ["all"], [f"e{i}" for i in range(8)], [0, 1, 2], L.ModelSpec())
+
+
+@register("nested_benchmark")
+def _(spark, sf):
+    from tarnflow.operators.procedures import nested_benchmark
+
+    rows = _cells(spark, sf).withColumn("outer", (F.col("vec_id") % 4).cast("int"))
+    features = [f"e{i}" for i in range(8)]
+    return nested_benchmark(rows, "all", F.col("y"), ["all"], features, features, "outer", [0, 1, 2], L.ModelSpec())
+
+
+@register("signal_gate")
+def _(spark, sf):
+    return L.signal_gate(_cells(spark, sf), "all", F.col("y"), ["all"], ["e6", "e7"], [0, 1, 2])

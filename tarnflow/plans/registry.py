@@ -1,4 +1,4 @@
 """Every query of the library with its SQL."""
 
-from . import certificate_queries, metric_queries, model_queries, occurrence_queries, rollup_queries  # noqa: F401
+from . import certificate_queries, metric_queries, model_queries, occurrence_queries, rollup_queries, selection_queries  # noqa: F401
 from .occurrence_queries import ORACLE_SQL, QUERIES  # noqa: F401
