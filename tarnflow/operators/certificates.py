@@ -43,6 +43,17 @@ def knockout_pairs(full: DataFrame, reduced: DataFrame, keys: Sequence[str], met
     return both.select(*[c for c in reduced.columns if c not in metrics], *[(F.col(f"_full_{m}") - F.col(m)).alias(f"{m}_loss") for m in metrics])
 
 
+def knockout_ledger(full: DataFrame, reduced: DataFrame, keys: Sequence[str], knockout: str, expected: int | None = None) -> DataFrame:
+    """(knockout, n_pairs, n_reduced, n_full, complete): whether each knock-out has exactly one row for each cell of the
+    full model, and as many cells as expected where that is given."""
+    cells = checked_join(reduced.select(knockout, *keys), full.select(*keys).withColumn("_f", F.lit(1)), keys, "left", "many_to_one")
+    total = full.agg(F.count("*").alias("n_full"))
+    g = cells.groupBy(knockout).agg(F.count("_f").alias("n_pairs"), F.count("*").alias("n_reduced"), F.countDistinct(F.when(F.col("_f") == 1, F.struct(*keys))).alias("_d"))
+    out = g.crossJoin(F.broadcast(total))
+    whole = (F.col("n_pairs") == F.col("n_reduced")) & (F.col("_d") == F.col("n_pairs")) & (F.col("n_pairs") == F.col("n_full"))
+    return out.withColumn("complete", whole if expected is None else whole & (F.col("n_full") == expected)).drop("_d")
+
+
 def process_state(df: DataFrame, keys: Sequence[str], admitted: Column, complete: Column) -> DataFrame:
     """(keys, state): a witness if any route is admitted, required if all are complete, else unresolved."""
     g = df.groupBy(*keys).agg(F.bool_or(F.coalesce(admitted, F.lit(False))).alias("a"), F.bool_and(F.coalesce(complete, F.lit(False))).alias("c"))

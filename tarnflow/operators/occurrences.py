@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions.values import finite, grid_cell, haversine_km, number, require_columns, unit_sphere
 
+from .partitions import sample_rows
+
 Box = tuple[float, float, float, float]
 
 
@@ -115,17 +117,32 @@ def species_gate(df: DataFrame, cell: float, least_rows: int, least_cells: int)
 def select_taxa(df: DataFrame, taxa: DataFrame) -> DataFrame:
     """Rows of ``df`` for each configured taxon (taxon, key): by key if any row has it, else by case-folded name.
 
-    ``mode`` tells which; a row may serve more than one taxon. The configuration is small and is checked to be so.
+    ``mode`` tells which; a row may serve more than one taxon. A configuration of any size joins as Spark sees fit.
     """
-    if taxa.count() > 100_000:
-        raise ValueError("a configuration of more than 100000 taxa")
-    wanted = F.broadcast(taxa.select("taxon", F.col("key").alias("_key")))
-    by_key = df.join(wanted, F.col("taxonKey") == F.col("_key")).withColumn("mode", F.lit("key"))
+    by_key = df.join(taxa.select("taxon", F.col("key").alias("_key")), F.col("taxonKey") == F.col("_key")).withColumn("mode", F.lit("key"))
     found = by_key.select("taxon").distinct()
-    by_name = df.join(F.broadcast(taxa.join(found, "taxon", "left_anti").select("taxon")), F.lower(F.trim("species")) == F.lower(F.trim("taxon")))
+    by_name = df.join(taxa.join(found, "taxon", "left_anti").select("taxon"), F.lower(F.trim("species")) == F.lower(F.trim("taxon")))
     return by_key.drop("_key").unionByName(by_name.withColumn("mode", F.lit("name")))
 
 
+def taxon_ledger(df: DataFrame, taxa: DataFrame) -> DataFrame:
+    """(taxon, key, mode, key_rows, name_rows, matched_rows) of each configured taxon with a name, matched or not.
+
+    Modes are taxon_key, taxon_key_fallback_exact_name, taxon_key_no_match and, without a key, exact_name. Rows are
+    counted by key and by name first, so that the joins are of counts.
+    """
+    keys = df.where("taxonKey is not null").groupBy(F.col("taxonKey").alias("key")).agg(F.count("*").alias("key_rows"))
+    names = df.where("species is not null").groupBy(F.lower(F.trim("species")).alias("_name")).agg(F.count("*").alias("name_rows"))
+    named = taxa.where("trim(taxon) <> ''").withColumn("_name", F.lower(F.trim("taxon")))
+    out = named.join(keys, "key", "left").join(names, "_name", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("key_rows", "name_rows")})
+    mode = (
+        F.when(F.col("key").isNull(), "exact_name").when(F.col("key_rows") > 0, "taxon_key")
+        .when(F.col("name_rows") > 0, "taxon_key_fallback_exact_name").otherwise("taxon_key_no_match")
+    )
+    by_name = F.col("mode").isin("exact_name", "taxon_key_fallback_exact_name")
+    return out.withColumn("mode", mode).select("taxon", "key", "mode", "key_rows", "name_rows", F.when(by_name, F.col("name_rows")).otherwise(F.col("key_rows")).alias("matched_rows"))
+
+
 def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows whose ``columns`` are all finite."""
     keep = F.lit(True)
@@ -140,6 +157,17 @@ def coverage(df: DataFrame, predictors: Sequence[str], key: str) -> DataFrame:
     return long.groupBy(key, "x.predictor").agg(F.avg("x.has").alias("coverage"))
 
 
+def coverage_ledger(df: DataFrame, perturbation: str, presence: Column, predictors: Sequence[str], least: float = 0.95) -> DataFrame:
+    """(predictor, perturbation, coverage of both kinds and the lesser, passes, admissible): a predictor is admissible if
+    the share of its finite values reaches ``least`` among presences and background of every perturbation; a kind without
+    rows covers nothing."""
+    kind = df.select(F.col(perturbation).alias("perturbation"), presence.alias("_p"), *[finite(p).isNotNull().cast("double").alias(p) for p in predictors])
+    per = kind.groupBy("perturbation").agg(*[F.coalesce(F.avg(F.when(F.col("_p") == side, F.col(p))), F.lit(0.0)).alias(f"{n}_{i}") for i, p in enumerate(predictors) for side, n in ((True, "p"), (False, "b"))])
+    long = per.select("perturbation", F.explode(F.array(*[F.struct(F.lit(p).alias("predictor"), F.col(f"p_{i}").alias("p"), F.col(f"b_{i}").alias("b")) for i, p in enumerate(predictors)])).alias("x"))
+    out = long.select("x.predictor", "perturbation", F.col("x.p").alias("presence_coverage"), F.col("x.b").alias("background_coverage"), F.least("x.p", "x.b").alias("coverage"))
+    return out.withColumn("passes", F.col("coverage") >= least).withColumn("admissible", F.bool_and("passes").over(Window.partitionBy("predictor")))
+
+
 def query_boxes(df: DataFrame, buffer_deg: float) -> DataFrame:
     """(species, west, east, south, north): each species' bounds grown by a buffer and kept on the globe."""
     g = df.groupBy("species").agg(F.min("longitude").alias("w"), F.max("longitude").alias("e"), F.min("latitude").alias("s"), F.max("latitude").alias("n"))
@@ -165,16 +193,37 @@ def outside_focal_cells(df: DataFrame, focal: DataFrame, cell: float) -> DataFra
     return df.withColumns({"gx": gx, "gy": gy}).join(taken, ["gx", "gy"], "left_anti")
 
 
+def target_group_background(focal: DataFrame, pool: DataFrame, mask: Column, n: int, cell: float, seed: int, order: Sequence[str], focal_species: str) -> DataFrame:
+    """At most ``n`` rows of the pool as background of one focal species, one a cell, from cells without focal rows.
+
+    Rows outside the mask or without coordinates are left out; a cell gives its first row by ``order``, and cells are
+    drawn without replacement by a seeded hash of it. Rows keep their species as ``background_source_species``. An empty
+    mask, or no cell left, is an error.
+    """
+    inside = pool.where(mask & F.col("longitude").isNotNull() & F.col("latitude").isNotNull())
+    if inside.isEmpty():
+        raise ValueError("no row of the pool lies inside the mask")
+    open_cells = first_by(outside_focal_cells(inside, focal.where("longitude is not null and latitude is not null"), cell), ["gx", "gy"], order)
+    if open_cells.isEmpty():
+        raise ValueError("no cell is left outside the focal cells")
+    drawn = sample_rows(open_cells.withColumn("_all", F.lit(1)), n, ["_all"], order, seed)
+    return drawn.withColumn("background_source_species", F.col("species")).withColumn("species", F.lit(focal_species)).drop("_all", "gx", "gy")
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key by an explicit order."""
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
 
 
+#: Degrees of the smallest cell of the distance join.
+LEAST_CELL = 0.05
+
+
 def _cells_near(lon: Column, lat: Column, size: float, reach_km: float) -> Column:
     """Grid cells (as x, y) that hold every point within reach of a point, over the dateline and at the poles."""
     per_degree = 111.0
     reach = reach_km / per_degree
-    n_x = int(360 / size)
+    n_x = round(360 / size)
     low = F.floor((F.greatest(lat - reach, F.lit(-90.0)) + 90.0) / size)
     high = F.floor((F.least(lat + reach, F.lit(90.0)) + 90.0) / size)
     far = F.least(F.abs(lat) + reach, F.lit(90.0))
@@ -189,9 +238,10 @@ def within_distance(df: DataFrame, focal: DataFrame, reach_km: float, identity:
     """(identity, nearest_km) of the rows of ``df`` within reach of any focal row.
 
     Focal points are put into every grid cell near them and joined by cell, so that distances are worked out for
-    neighbours alone; equal focal points count once. No side is broadcast.
+    neighbours alone; equal focal points count once. Cells follow the reach, down to a twentieth of a degree, since a
+    point near a pole is in every cell of its row. No side is broadcast.
     """
-    size = max(1.0, 2 * reach_km / 111.0)
+    size = max(LEAST_CELL, 2 * reach_km / 111.0)
     size = 360.0 / max(1, int(360.0 / size))
     valid = lambda d: d.where(F.col("longitude").between(-180.0, 180.0) & F.col("latitude").between(-90.0, 90.0))
     near = valid(focal).select(F.col("longitude").alias("flon"), F.col("latitude").alias("flat")).distinct()

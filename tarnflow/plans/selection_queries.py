@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnflow.operators import certificates as C
+from tarnflow.operators import occurrences as O
 from tarnflow.operators import selection as S
 
 from .adapters import metrics, occurrences
@@ -153,3 +154,38 @@ def _(spark, sf):
     g = metrics(spark, sf).groupBy("M", "taxon")
     parts = [g.agg(F.avg("presence_rank").alias("v"), F.countDistinct("candidate").alias("n")), g.agg(F.avg("overlap").alias("o")), g.agg(F.max("breadth_error").alias("e"))]
     return rounded(S.panel_chain(metrics(spark, sf).select("M", "taxon").distinct(), parts, ["M", "taxon"]), 6)
+
+
+@register("taxon_ledger", """WITH taxa(taxon, "key") AS (VALUES ('building', CAST(NULL AS BIGINT)), ('First key', 5), (' Machinery ', -1), ('no such', -2)), o AS (SELECT *, row_id % 50 AS taxonKey FROM occ),
+  c AS (SELECT taxon, "key", (SELECT count(*) FROM o WHERE taxonKey = "key") AS key_rows, (SELECT count(*) FROM o WHERE lower(trim(species)) = lower(trim(taxon))) AS name_rows FROM taxa),
+  m AS (SELECT *, CASE WHEN "key" IS NULL THEN 'exact_name' WHEN key_rows > 0 THEN 'taxon_key' WHEN name_rows > 0 THEN 'taxon_key_fallback_exact_name' ELSE 'taxon_key_no_match' END AS mode FROM c)
+  SELECT taxon, "key", mode, key_rows, name_rows, CASE WHEN mode IN ('exact_name', 'taxon_key_fallback_exact_name') THEN name_rows ELSE key_rows END AS matched_rows FROM m""")
+def _(spark, sf):
+    taxa = spark.createDataFrame([("building", None), ("First key", 5), (" Machinery ", -1), ("no such", -2)], "taxon string, key long")
+    return O.taxon_ledger(occurrences(spark, sf).withColumn("taxonKey", F.col("row_id") % 50), taxa)
+
+
+_HELD = {"whole": "uncertainty", "mostly": "CASE WHEN row_id % 25 <> 0 THEN latitude END", "seldom": "CASE WHEN year < 1995 OR occurrenceStatus = 'F' THEN longitude END"}
+
+
+@register("coverage_ledger", "WITH v AS (SELECT year AS perturbation, occurrenceStatus = 'F' AS p, " + ", ".join(f"{e} AS {n}" for n, e in _HELD.items()) + " FROM occ), c AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS predictor, perturbation, coalesce(avg(({n} IS NOT NULL)::INT) FILTER (WHERE p), 0) AS a, coalesce(avg(({n} IS NOT NULL)::INT) FILTER (WHERE NOT p), 0) AS b FROM v GROUP BY perturbation" for n in _HELD) + f""")
+  SELECT predictor, perturbation, {r('a', 'presence_coverage')}, {r('b', 'background_coverage')}, {r('least(a, b)', 'coverage')}, least(a, b) >= 0.9 AS passes, bool_and(least(a, b) >= 0.9) OVER (PARTITION BY predictor) AS admissible FROM c""")
+def _(spark, sf):
+    rows = occurrences(spark, sf).selectExpr("year", "occurrenceStatus", *[f"{e} AS {n}" for n, e in _HELD.items()])
+    return rounded(O.coverage_ledger(rows, "year", F.col("occurrenceStatus") == "F", list(_HELD), 0.9))
+
+
+@register("knockout_ledger", """WITH f AS (SELECT taxon, candidate, fold FROM metrics WHERE M = 'A'), k AS (SELECT M, taxon, candidate, fold FROM metrics WHERE M <> 'A'),
+  j AS (SELECT k.M, k.taxon, k.candidate, k.fold, f.taxon IS NOT NULL AS hit FROM k LEFT JOIN f USING (taxon, candidate, fold))
+  SELECT M, count(*) FILTER (WHERE hit) AS n_pairs, count(*) AS n_reduced, (SELECT count(*) FROM f) AS n_full, count(*) FILTER (WHERE hit) = count(*) AND count(*) = (SELECT count(*) FROM f) AS complete FROM j GROUP BY M""")
+def _(spark, sf):
+    m = metrics(spark, sf)
+    return C.knockout_ledger(m.where("M = 'A'"), m.where("M <> 'A'"), ["taxon", "candidate", "fold"], "M")
+
+
+@register("target_group_background")
+def _(spark, sf):
+    occ = occurrences(spark, sf)
+    mask = F.col("latitude").between(-60.0, 75.0)
+    return O.target_group_background(occ.where("species = 'BUILDING'"), occ.where("species <> 'BUILDING'"), mask, 500, 0.5, 42, ["row_id"], "BUILDING").select("row_id", "species", "background_source_species")

@@ -158,3 +158,46 @@ def test_nested_benchmark_never_sees_its_fold(spark, cells):
     assert again[1, "predictive"] == got[1, "predictive"].predictors
     with pytest.raises(ValueError):
         B.nested_benchmark(cells.where("outer = 0"), *args)
+
+
+def test_target_group_background(spark):
+    from tarnflow.operators import occurrences as O
+
+    rng = np.random.default_rng(8)
+    schema = "row_id long, species string, longitude double, latitude double"
+    pool = [(i, f"s{i % 5}", float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-3, 3, (400, 2)))] + [(900, "s1", None, 1.0), (901, "s1", 0.5, None), (902, None, 2.9, 2.9)]
+    focal = [(1, "f", float(x), float(y)) for x, y in rng.uniform(-3, 3, (6, 2))] + [(2, "f", None, None)]
+    cell = lambda r: (math.floor((r[2] + 180) / 1.0), math.floor((r[3] + 90) / 1.0))
+    taken = {cell(r) for r in focal if r[2] is not None}
+    free = {}
+    for r in sorted(r for r in pool if r[2] is not None and r[3] is not None and r[3] > -2):
+        if cell(r) not in taken:
+            free.setdefault(cell(r), r[0])
+    assert len(free) > 12
+    run = lambda n, where=F.col("latitude") > -2: O.target_group_background(spark.createDataFrame(focal, schema), spark.createDataFrame(pool, schema).repartition(3), where, n, 1.0, 7, ["row_id"], "f").collect()
+    assert {r.row_id for r in run(1000)} == set(free.values())
+    some = run(12)
+    assert len({r.row_id for r in some}) == 12 and {r.row_id for r in some} <= set(free.values()) and {r.row_id for r in run(12)} == {r.row_id for r in some}
+    assert all(r.species == "f" and r.background_source_species == dict((p[0], p[1]) for p in pool)[r.row_id] for r in some)
+    with pytest.raises(ValueError):
+        run(5, F.col("latitude") > 80)
+
+
+@pytest.mark.parametrize("reach", [2.0, 5.0, 40.0])
+def test_short_reaches_use_small_cells_and_find_the_same(spark, reach):
+    from tarnflow.functions.values import EARTH_KM
+    from tarnflow.operators import occurrences as O
+
+    rng = np.random.default_rng(11)
+    spots = [(0.0, 0.0), (179.99, 10.0), (-179.99, 10.01), (30.0, 89.95), (-150.0, -89.98), (12.3, 51.05)]
+    at = lambda n: [(float((x + dx + 180) % 360 - 180), float(np.clip(y + dy, -90, 90))) for x, y in spots for dx, dy in rng.normal(scale=0.03, size=(n, 2))]
+    rows, focal = [(i, *p) for i, p in enumerate(at(30))], at(4)
+    got = {r.row_id: r.nearest_km for r in O.within_distance(spark.createDataFrame(rows, "row_id int, longitude double, latitude double"), spark.createDataFrame(focal, "longitude double, latitude double"), reach).collect()}
+
+    def km(a, b):
+        (x, y), (u, v) = np.radians(a), np.radians(b)
+        return 2 * EARTH_KM * math.asin(min(1.0, math.sqrt(math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2)))
+
+    want = {i: min(km((x, y), f) for f in focal) for i, x, y in rows}
+    want = {i: d for i, d in want.items() if d <= reach}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(d, abs=1e-6) for i, d in want.items())
