@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.functions.values import TOLERANCE, assert_unique, checked_join, finite
+from tarnflow.functions.values import TOLERANCE, assert_unique, checked_join, finite, table_fingerprint
 
 from .certificates import SUPPORT, pareto_front
 from .metrics import spearman
@@ -164,3 +164,12 @@ def union_chunks(chunks: dict[int, DataFrame], expected: int, taxa: DataFrame, t
     if not seen.join(taxa, taxon, "left_anti").isEmpty() or not taxa.join(seen, taxon, "left_anti").isEmpty():
         raise ValueError("taxa differ from those expected")
     return out
+
+
+def assert_matched(specifications: dict[str, DataFrame], columns: Sequence[str]) -> str:
+    """The fingerprint that all specifications share over ``columns``, so that contrasts between them compare treatments
+    of the same rows; an error names those that differ. One aggregation a specification, whatever the order of rows."""
+    prints = {name: table_fingerprint(df, columns) for name, df in sorted(specifications.items())}
+    if len(set(prints.values())) != 1:
+        raise ValueError("specifications differ in their rows: " + ", ".join(f"{n} {p[:12]}" for n, p in prints.items()))
+    return next(iter(prints.values()))

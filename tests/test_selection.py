@@ -201,3 +201,13 @@ def test_short_reaches_use_small_cells_and_find_the_same(spark, reach):
     want = {i: min(km((x, y), f) for f in focal) for i, x, y in rows}
     want = {i: d for i, d in want.items() if d <= reach}
     assert set(got) == set(want) and all(got[i] == pytest.approx(d, abs=1e-6) for i, d in want.items())
+
+
+def test_matched_specifications(spark):
+    rows = [("a", 1.0), ("a", 1.0), ("b", None)]
+    df = lambda r: spark.createDataFrame(r, "t string, v double")
+    one = S.assert_matched({"x": df(rows), "y": df(rows[::-1]).repartition(3).withColumn("more", F.lit(1))}, ["t", "v"])
+    assert len(one) == 64
+    for other in (rows[1:], [*rows[:2], ("b", 0.0)]):
+        with pytest.raises(ValueError, match="differ"):
+            S.assert_matched({"x": df(rows), "y": df(other)}, ["t", "v"])
