@@ -175,6 +175,48 @@ def query_boxes(df: DataFrame, buffer_deg: float) -> DataFrame:
     return g.select("species", clip(F.col("w") - buffer_deg, -180.0, 180.0).alias("west"), clip(F.col("e") + buffer_deg, -180.0, 180.0).alias("east"), clip(F.col("s") - buffer_deg, -90.0, 90.0).alias("south"), clip(F.col("n") + buffer_deg, -90.0, 90.0).alias("north"))
 
 
+#: Kilometres of a degree of latitude (fixed value).
+KM_PER_DEGREE = 111.195
+
+
+def buffer_degrees(south: Column, north: Column, km: float) -> tuple[Column, Column]:
+    """(latitude, longitude) degrees that hold a distance everywhere between two latitudes grown by it.
+
+    Degrees of longitude are those at the latitude furthest from the equator, at most 89.999, and at most 180.
+    """
+    if km <= 0:
+        raise ValueError("a buffer of more than nothing")
+    lat = F.lit(km / KM_PER_DEGREE)
+    far = F.least(F.lit(89.999), F.greatest(F.abs(south - lat), F.abs(north + lat)))
+    shrunk = F.cos(F.radians(far))
+    return lat, F.when(shrunk <= 1e-6, F.lit(180.0)).otherwise(F.least(F.lit(180.0), lat / shrunk))
+
+
+def expand_longitude(west: Column, east: Column, by: Column) -> tuple[Column, Column]:
+    """(west, east) grown by some degrees, over the dateline where it is passed; the whole circle where both ends meet."""
+    w, e = west - by, east + by
+    whole, under, over = e - w >= 360.0, w < -180.0, e > 180.0
+    left = F.when(whole, F.lit(-180.0)).when(under, w + 360.0).otherwise(w)
+    return left, F.when(whole, F.lit(180.0)).when(~under & over, e - 360.0).otherwise(e)
+
+
+def buffered_boxes(df: DataFrame, km: float) -> DataFrame:
+    """(species, west, east, south, north): each species' bounds grown by a distance; a west beyond its east crosses the
+    dateline."""
+    g = df.groupBy("species").agg(F.min("longitude").alias("w"), F.max("longitude").alias("e"), F.min("latitude").alias("s"), F.max("latitude").alias("n"))
+    lat, lon = buffer_degrees(F.col("s"), F.col("n"), km)
+    west, east = expand_longitude(F.col("w"), F.col("e"), lon)
+    return g.select("species", west.alias("west"), east.alias("east"), F.greatest(F.lit(-90.0), F.col("s") - lat).alias("south"), F.least(F.lit(90.0), F.col("n") + lat).alias("north"))
+
+
+def tile_boxes(df: DataFrame, tile_deg: float, buffer_deg: float) -> DataFrame:
+    """(tx, ty, west, east, south, north) of every occupied tile: the bounds of its rows grown by a buffer."""
+    tx, ty = grid_cell(F.col("longitude"), F.col("latitude"), tile_deg)
+    g = df.groupBy(tx.alias("tx"), ty.alias("ty")).agg(F.min("longitude").alias("w"), F.max("longitude").alias("e"), F.min("latitude").alias("s"), F.max("latitude").alias("n"))
+    west, east = expand_longitude(F.col("w"), F.col("e"), F.lit(buffer_deg))
+    return g.select("tx", "ty", west.alias("west"), east.alias("east"), F.greatest(F.lit(-90.0), F.col("s") - buffer_deg).alias("south"), F.least(F.lit(90.0), F.col("n") + buffer_deg).alias("north"))
+
+
 def tiles(df: DataFrame, tile_deg: float) -> DataFrame:
     """(tx, ty, n): occupied tiles."""
     tx, ty = grid_cell(F.col("longitude"), F.col("latitude"), tile_deg)

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 #: Names of columns by their other spellings (fixed values).
 ALIASES = {
-    "decimallongitude": "longitude", "decimallatitude": "latitude", "gbifid": "gbifID", "key": "gbifID",
+    "decimallongitude": "longitude", "decimallatitude": "latitude",
     "coordinateuncertaintyinmeters": "coordinateUncertaintyInMeters", "basisofrecord": "basisOfRecord",
-    "occurrencestatus": "occurrenceStatus", "taxonkey": "taxonKey", "acceptedscientificname": "acceptedScientificName",
-    "scientificname": "scientificName", "eventdate": "eventDate", "countrycode": "countryCode",
+    "occurrencestatus": "occurrenceStatus", "datasetkey": "datasetKey", "taxonkey": "taxonKey",
+    "acceptedtaxonkey": "acceptedTaxonKey", "scientificname": "scientificName",
+    "acceptedscientificname": "acceptedScientificName", "taxonrank": "taxonRank", "countrycode": "countryCode",
+    "institutioncode": "institutionCode", "eventdate": "eventDate", "gbifid": "gbifID", "key": "gbifID",
 }
 
 
