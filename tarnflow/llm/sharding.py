@@ -61,7 +61,8 @@ def shard(docs: DataFrame, shards: int, text_col: str = "text", id_col: str = "d
     """(doc_id, size, text_crc32, shard, slot) for every row of ``docs``.
 
     Equal texts share a shard unless they outweigh a shard's equal part. A null text counts as empty for the key and the checksum,
-    with size 16; repeated rows each get a slot; null ids are kept; no rows give no rows; other columns are ignored.
+    with size 16; repeated rows each get a slot, and are dealt like others where their group is split; null ids are kept;
+    no rows give no rows; other columns are ignored. Which part of a split group a row joins depends on where it was read.
     The driver holds the splitters alone: ``RANGES_PER_SHARD`` a shard, or one a ``RANGE_BYTES``.
     """
     if shards < 1:
@@ -73,8 +74,10 @@ def shard(docs: DataFrame, shards: int, text_col: str = "text", id_col: str = "d
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.pmod(F.xxhash64(text), F.lit(1 << _KEY_BITS)).alias("key"),
+        # of the row, not of its id: ids may be shared or null. It is written, so that no later read draws it anew
+        F.pmod(F.xxhash64(F.monotonically_increasing_id(), id_col), F.lit(1 << 40)).alias("salt"),
     )
-    rows = materialise(spark, rows, "shard-rows").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    rows = materialise(spark, rows, "shard-rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     wanted = max(shards * RANGES_PER_SHARD, -(-total // RANGE_BYTES))
     limit = max(1, 2 * total // wanted)

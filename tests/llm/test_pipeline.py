@@ -109,3 +109,28 @@ def test_clashing_columns_repeats_and_no_rows(spark, tmp_path):
     assert docs.where("doc_id = 70").count() == 0 and docs.where("doc_id is null").count() == 1
     packed = P.pack_sequences(spark, docs, sf)
     assert packed.count() == docs.count() and P.pack_sequences(spark, docs.limit(0), sf).count() == 0
+
+
+def test_two_results_of_a_stage_live_side_by_side(spark, tmp_path):
+    rng = random.Random(15)
+    rows, items, toxic = corpus(rng)
+    sf, schema = str(tmp_path), "doc_id long, text string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in P.STAGES:
+        a, b = stage(spark, docs, sf), stage(spark, docs.where("doc_id >= 100"), sf)
+        n, m = a.count(), b.count()
+        assert n > m > 0 and a.count() == n, name
+
+
+def test_a_very_long_text_goes_through_all_stages(spark, tmp_path):
+    rng = random.Random(16)
+    sf, prose = str(tmp_path), lambda n: " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
+    long = prose(200_000)
+    spark.createDataFrame([(1, long), (2, long), (3, prose(50)), (4, prose(40) + long[:400])], "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, prose(20))], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    got = P.run(spark, sf).groupBy("doc_id").sum("length").collect()
+    assert len(long) > 1 << 20 and {r[0] for r in got} == {1, 3, 4} and {r[0]: r[1] for r in got}[1] > 200_000

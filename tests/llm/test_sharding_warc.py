@@ -36,6 +36,21 @@ def test_shard_whole_and_balanced(spark):
     assert all(len(h) == 1 for h in homes.values())
 
 
+def test_shard_splits_groups_of_shared_and_null_ids(spark):
+    for shared in (None, 5):
+        rows = [(i, f"{i} " + "w" * 350) for i in range(800)] + [(shared, "copy" * 40)] * 4000 + [(900, "long " * 300_000)]
+        got = shard(_docs(spark, rows).repartition(5), 8).collect()
+        load, slots = defaultdict(int), defaultdict(list)
+        for r in got:
+            slots[r.shard].append(r.slot)
+            if r.doc_id != 900:
+                load[r.shard] += r["size"]
+        assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        alone = next(r.shard for r in got if r.doc_id == 900)
+        rest = [v for s, v in load.items() if s != alone]
+        assert len(rest) == 7 and max(rest) < 1.03 * sum(rest) / 7 and min(rest) > 0.97 * sum(rest) / 7
+
+
 def test_shard_empty_and_one(spark):
     assert shard(_docs(spark, []), 4).count() == 0
     assert [tuple(r) for r in shard(_docs(spark, [(1, "é")]), 4).select("doc_id", "size", "slot").collect()] == [(1, 18, 0)]
