@@ -1,8 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
 Every stage takes rows with any columns besides doc_id and text and, but for the last, returns the columns it was given
-with their values, whatever their names. Each stage works on scratch tables in the shared folder; they go when the
-next stage begins, whose input has been written by then.
+with their values, whatever their names. A stage's scratch tables in the shared folder go before it returns, but for the
+small ones that its result reads; these are its result's ``_reads``, to be discarded when nothing reads it any more. No
+stage touches what another one made.
 """
 
 from __future__ import annotations
@@ -19,21 +20,20 @@ from tarnflow.llm.common import discard, free_name, materialise, owning, release
 #: Words of a shingle and the percentage of likeness of the near-duplicate stage.
 SHINGLE, LIKE = 5, 80
 
-_left: list[str] = []
 
-
-def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage that first removes the scratch tables of the one before, unless ``docs`` still reads them."""
+def _stage(work: Callable[[SparkSession, DataFrame, str], tuple[DataFrame, list[DataFrame] | None]]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that discards its own scratch tables but those that its result reads; None stands for all it has left."""
 
     @functools.wraps(work)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _left else []
-        if not any(path.split("://")[-1] in f for path in _left for f in read):
-            discard(spark, *_left)
-            _left.clear()
-            release(spark)
-        with owning(_left):
-            return work(spark, docs, sf_dir)
+        scratch: list[str] = []
+        with owning(scratch):
+            out, read = work(spark, docs, sf_dir)
+        kept = scratch if read is None else [t._scratch for t in read]
+        discard(spark, *[path for path in scratch if path not in kept])
+        release(spark)
+        out._reads = kept
+        return out
 
     return stage
 
@@ -53,7 +53,7 @@ def _without(docs: DataFrame, rows: DataFrame, row: str) -> DataFrame:
 
 
 @_stage
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, list[DataFrame] | None]:
     """Documents whose toxicity is below the threshold; the model is fitted on the labels of the whole corpus.
 
     A null or empty text has no window and stays where texts without a sign of either class stay; equal texts, of
@@ -61,11 +61,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     score = free_name(docs, "_score")
-    return toxicity.score(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.score(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns), None
 
 
 @_stage
-def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, list[DataFrame] | None]:
     """The document with the smallest doc_id of each component of near copies; rows repeated whole count as one.
 
     A null doc_id comes after all others; rows that share one are told apart by their texts' hashes. Null, empty and
@@ -77,20 +77,20 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     several = found.groupBy("component_id").count().where("count > 1").select("component_id")
     members = materialise(spark, found.join(several, "component_id").groupBy(row, "component_id").agg(F.count("*").alias("n")), "pipeline-members")
     if members.isEmpty():
-        return docs
+        return docs.select("*"), []
     ids = named.select(row, "doc_id").join(members, row)
     first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))).alias("first")).select(F.col("first.row").alias(row))
     first = materialise(spark, first, "pipeline-first")
     rest = _without(named, members.join(first, row, "left_anti"), row)
     twice = members.where("n > 1").select(row)
     if twice.isEmpty():
-        return rest.drop(row)
+        return rest.drop(row), [members, first]
     again = rest.join(twice, row, "left_semi").select(*named.columns)
-    return _without(rest, twice, row).unionByName(again.dropDuplicates([row])).drop(row)
+    return _without(rest, twice, row).unionByName(again.dropDuplicates([row])).drop(row), [members, first]
 
 
 @_stage
-def cut_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def cut_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, list[DataFrame] | None]:
     """Texts without strings of 100 bytes that start earlier in the corpus; a document of which nothing is left goes.
 
     Null and empty texts stay; rows repeated whole are one document and are cut alike; a null doc_id comes first. A
@@ -98,11 +98,11 @@ def cut_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """
     left = substrings.remove_duplicates(docs, figures=False)
     changed = {"n_chars": F.length("text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {}
-    return left.withColumns(changed).select(*docs.columns)
+    return left.withColumns(changed).select(*docs.columns), None
 
 
 @_stage
-def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, list[DataFrame] | None]:
     """Documents that hold no item of ``benchmark``.
 
     Null and empty texts hold none; each of repeated rows is judged alike, and rows that share an id by their own
@@ -110,11 +110,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     named, row = _rows_named(docs)
     leaks = decontamination.find_leaks(named.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return _without(named, materialise(spark, leaks.select(F.col("doc_id").alias(row)), "pipeline-leaks"), row).drop(row)
+    leaks = materialise(spark, leaks.select(F.col("doc_id").alias(row)), "pipeline-leaks")
+    return _without(named, leaks, row).drop(row), [leaks]
 
 
 @_stage
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, list[DataFrame] | None]:
     """The pieces of every document with their places in sequences.
 
     A null text is empty; an empty document is the one piece of its end mark; long ones are cut; each of repeated rows
@@ -122,7 +123,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")), None
 
 
 STAGES = [
@@ -140,12 +141,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), []
     for i, (name, stage) in enumerate(STAGES):
-        scratch: list[str] = []
-        with owning(scratch):
-            docs = stage.__wrapped__(spark, docs, sf_dir)
+        docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialise(spark, docs, f"pipeline-{name}")
-            discard(spark, *scratch, *before)
+            read, docs = docs._reads, materialise(spark, docs, f"pipeline-{name}")
+            discard(spark, *read, *before)
             release(spark)
             before = [docs._scratch]
     return docs
