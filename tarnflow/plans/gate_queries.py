@@ -11,10 +11,9 @@ from .adapters import metrics
 from .occurrence_queries import r, register, rounded
 
 #: Evidence over the metrics table, as SQL that Spark and DuckDB read alike.
-_PROCESS = "split_part(candidate, ' ', 1)"
-CORES = f"SELECT M, {_PROCESS} AS process, fold AS split_id FROM {{metrics}} GROUP BY M, {_PROCESS}, fold HAVING avg(presence_rank) >= CAST(0.7 AS DOUBLE)"
-DROPS = f"SELECT M, {_PROCESS} AS process, fold AS split_id, taxon, round(avg(presence_rank) - CAST(0.7 AS DOUBLE), 6) AS delta FROM {{metrics}} GROUP BY M, {_PROCESS}, fold, taxon"
-OVER_FULL = "SELECT M, fold AS split_id, taxon, round(avg(presence_rank) - CAST(0.701 AS DOUBLE), 6) AS delta FROM {metrics} GROUP BY M, fold, taxon"
+CORES = "SELECT M, candidate AS process, fold AS split_id FROM {metrics} GROUP BY M, candidate, fold HAVING avg(presence_rank) >= CAST(0.7 AS DOUBLE)"
+DROPS = "SELECT M, candidate AS process, fold AS split_id, taxon, round(avg(presence_rank) - CAST(0.7 AS DOUBLE) + CAST(1e-12 AS DOUBLE), 6) AS delta FROM {metrics} GROUP BY M, candidate, fold, taxon"
+OVER_FULL = "SELECT M, fold AS split_id, taxon, round(avg(presence_rank) - CAST(0.701 AS DOUBLE) + CAST(1e-12 AS DOUBLE), 6) AS delta FROM {metrics} GROUP BY M, fold, taxon"
 OVER_RANDOM = "SELECT M, fold AS split_id, taxon, candidate AS repeat, round(presence_rank - CAST(0.69 AS DOUBLE), 6) AS delta FROM {metrics}"
 
 BOUNDS = [
@@ -73,11 +72,12 @@ def _(spark, sf):
     return gates.process_decision(_ledger(spark, sf), ["M"])
 
 
-#: Runs are taxa by fold; a universe is the last word of a candidate, a strategy the first.
-RUNS = """SELECT M, concat(taxon, '-', CAST(fold AS STRING)) AS run_id, split_part(candidate, ' ', 3) AS universe, split_part(candidate, ' ', 1) AS strategy,
-  round(avg(presence_rank), 6) AS score, round(avg(overlap), 6) AS m_spec_win_fraction, min(candidate) AS predictors FROM {metrics} GROUP BY M, taxon, fold, split_part(candidate, ' ', 3), split_part(candidate, ' ', 1)"""
+#: Runs are taxa; a universe is a half of the folds, a strategy the candidate.
+RUNS = """SELECT M, taxon AS run_id, CASE WHEN fold < 2 THEN 'climate' ELSE 'soil' END AS universe, candidate AS strategy,
+  round(avg(presence_rank) + CAST(1e-12 AS DOUBLE), 6) AS score, round(avg(overlap) + CAST(1e-12 AS DOUBLE), 6) AS m_spec_win_fraction, concat(candidate, '-', CAST(min(n_rows) AS STRING)) AS predictors
+FROM {metrics} GROUP BY M, taxon, CASE WHEN fold < 2 THEN 'climate' ELSE 'soil' END, candidate"""
 PROTOCOL_RULES = [Rule("protocol", "selection_fraction", 0.03), Rule("protocol", "runs_selected", 2), Rule("protocol", "least_m_spec_win_fraction", 0.2)]
-COMPARATOR_RULES = [Rule("comparator", "n_pairs", 50), Rule("comparator", "mean_delta", 0.0), Rule("comparator", "positive_fraction", 0.5)]
+COMPARATOR_RULES = [Rule("comparator", "n_pairs", 20), Rule("comparator", "mean_delta", 0.0), Rule("comparator", "positive_fraction", 0.5)]
 REQUIRED = ["PROMO", "SMALL", "STANDARD", "ABSENT"]
 _CHOICE = ["universe", "strategy"]
 _METHODS = f"""WITH runs AS ({_own(RUNS).replace('STRING', 'VARCHAR')}), best AS (SELECT *, row_number() OVER (PARTITION BY M, run_id ORDER BY score DESC, universe, strategy) AS nth FROM runs),
@@ -122,7 +122,7 @@ def _(spark, sf):
 
 
 #: Each method's score less that of the strategy ECONOMY in the same case.
-SELECTORS = f"SELECT M, taxon AS run_id, fold, {_PROCESS} AS comparator, avg(presence_rank) AS score FROM {{metrics}} GROUP BY M, taxon, fold, {_PROCESS}"
+SELECTORS = "SELECT M, taxon AS run_id, fold, candidate AS comparator, avg(presence_rank) AS score FROM {metrics} GROUP BY M, taxon, fold, candidate"
 ASKED, CHECKS = ["SMALL", "LARGE", "PROMO", "ABSENT"], {"n_runs": 10, "n_pairs": 40, "mean_delta": 0.0, "positive_fraction": 0.5, "positive_run_fraction": 0.5}
 
 
