@@ -11,25 +11,61 @@ from pyspark.sql import functions as F
 from tarnflow.functions.values import TOLERANCE, finite
 
 
+#: Shares that a key's values are ranked in, so that the rows of one huge key are dealt to as many tasks.
+SHARES = 64
+
+
+def running_totals(rows: DataFrame, key: str, value: str, sums: Sequence[str]) -> DataFrame:
+    """``rows``, one for each key and value, with ``<c>_to``, the sum of each of ``sums`` over the key's values up to its
+    own, and ``<c>_all``, the sum over all of them.
+
+    Values are dealt into shares between approximate quantiles of their key: sums run within a share, and what the shares
+    before hold is added. Where the quantiles fall changes no result, and no task ranks more than about a share.
+    """
+    at = [i / SHARES for i in range(1, SHARES)]
+    cuts = rows.groupBy(F.col(key).alias("_key")).agg(F.percentile_approx(value, at, 10 * SHARES).alias("_cuts"))
+    placed = rows.join(cuts, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_share", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_key", "_cuts")
+    size = placed.groupBy(F.col(key).alias("_key"), F.col("_share").alias("_of")).agg(*[F.sum(c).alias(c) for c in sums])
+    up, whole = Window.partitionBy("_key").orderBy("_of"), Window.partitionBy("_key")
+    before = size.select("_key", "_of", *[(F.sum(c).over(up) - F.col(c)).alias(f"_{c}_before") for c in sums], *[F.sum(c).over(whole).alias(f"{c}_all") for c in sums])
+    inside = Window.partitionBy(key, "_share").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    both = placed.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_share") == F.col("_of")))
+    return both.select(*rows.columns, *[(F.sum(c).over(inside) + F.col(f"_{c}_before")).alias(f"{c}_to") for c in sums], *[f"{c}_all" for c in sums])
+
+
 def presence_rank(df: DataFrame, key: str, score: str = "score", presence: str = "is_presence") -> DataFrame:
     """(key, presence_rank): P(p > b) + P(p = b) / 2 for presence scores against background scores.
 
-    Scores are counted by value first, then accumulated, so pairs are never formed. Missing scores are left out; a key
-    without both kinds gets null.
+    Scores are counted by value first, then accumulated in shares, so pairs are never formed. Missing scores are left out;
+    a key without both kinds gets null.
     """
     counts = df.where(finite(score).isNotNull()).groupBy(key, score).agg(F.count_if(F.col(presence)).alias("p"), F.count_if(~F.col(presence)).alias("b"))
-    below = F.coalesce(F.sum("b").over(Window.partitionBy(key).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("b")))
-    out = counts.withColumn("below", below.cast("double")).groupBy(key).agg(won.alias("w"), F.sum("p").alias("np"), F.sum("b").alias("nb"))
+    won = F.sum(F.col("p") * (F.col("b_to") - 0.5 * F.col("b")))
+    out = running_totals(counts, key, score, ["b"]).groupBy(key).agg(won.alias("w"), F.sum("p").alias("np"), F.sum("b").alias("nb"))
     return out.select(key, (F.col("w") / F.nullif(F.col("np") * F.col("nb"), F.lit(0)).cast("double")).alias("presence_rank"))
 
 
 def or10(df: DataFrame, key: str, score: str = "score", test: str = "is_presence") -> DataFrame:
-    """(key, or10): share of test scores strictly below the 10 % quantile of the training scores."""
-    cut = df.where(~F.col(test)).groupBy(key).agg(F.percentile(score, 0.1).alias("cut"))
+    """(key, or10): share of test scores strictly below the 10 % quantile, linear between order statistics, of the
+    training scores. Scores that are no finite number take no part."""
+    cut = linear_quantiles(df.where(~F.col(test)), key, score, [0.1]).select(key, F.get("quantiles", 0).alias("cut"))
     return df.where(F.col(test)).join(cut, key).groupBy(key).agg(F.avg((F.col(score) < F.col("cut")).cast("double")).alias("or10"))
 
 
+def linear_quantiles(df: DataFrame, key: str, value: str, at: Sequence[float]) -> DataFrame:
+    """(key, quantiles): an array of quantiles, linear between order statistics.
+
+    Values are counted first and places come from totals that run in shares, so that no task holds a key's values at once.
+    """
+    counts = df.where(finite(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    placed = running_totals(counts, key, "v", ["k"]).select(key, "v", (F.col("k_to") - F.col("k")).alias("first"), F.col("k_to").alias("after"), F.col("k_all").alias("n"))
+    pos = lambda q: (F.col("n") - 1) * F.lit(float(q))
+    here = lambda k: F.max(F.when((F.col("first") <= k) & (k < F.col("after")), F.col("v")))
+    ends = placed.groupBy(key).agg(F.max("n").alias("n"), *[e for i, q in enumerate(at) for e in (here(F.floor(pos(q))).alias(f"a{i}"), here(F.least(F.floor(pos(q)) + 1, F.col("n") - 1)).alias(f"b{i}"))])
+    lerp = [F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (pos(q) - F.floor(pos(q))) for i, q in enumerate(at)]
+    return ends.select(key, F.array(*lerp).alias("quantiles"))
+
+
 def boyce_bins(df: DataFrame, key: str, score: str = "score", presence: str = "is_presence", bins: int = 10) -> DataFrame:
     """(key, bin, observed, expected): shares in equal bins over the combined range, the last bin closed."""
     rows = df.where(finite(score).isNotNull())
@@ -48,10 +84,20 @@ def average_rank(c: str, *keys: str):
 
 
 def spearman(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """(key, n, spearman): correlation of average-tie ranks, null for fewer than three rows or a constant side."""
-    rows = df.where(finite(a).isNotNull() & finite(b).isNotNull())
-    ranked = rows.select(key, average_rank(a, key).alias("x"), average_rank(b, key).alias("y"))
-    s = ranked.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(e).alias(k) for k, e in (("x", F.col("x")), ("y", F.col("y")), ("xx", F.col("x") * F.col("x")), ("yy", F.col("y") * F.col("y")), ("xy", F.col("x") * F.col("y")))])
+    """(key, n, spearman): correlation of average-tie ranks, null for fewer than three rows or a constant side.
+
+    Pairs of values are counted first; the rank of a value comes from totals that run in shares.
+    """
+    rows = df.where(finite(a).isNotNull() & finite(b).isNotNull()).groupBy(key, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").alias("k"))
+
+    def ranked(side: str, name: str) -> DataFrame:
+        t = running_totals(rows.groupBy(key, side).agg(F.sum("k").alias("k")), key, side, ["k"])
+        return t.select(F.col(key).alias(f"_{name}key"), F.col(side).alias(f"_{name}at"), (F.col("k_to") - (F.col("k") - 1) / 2.0).alias(name))
+
+    for side, name in (("_a", "x"), ("_b", "y")):
+        rows = rows.join(ranked(side, name), F.col(key).eqNullSafe(F.col(f"_{name}key")) & (F.col(side) == F.col(f"_{name}at"))).drop(f"_{name}key", f"_{name}at")
+    k = F.col("k")
+    s = rows.groupBy(key).agg(F.sum(k).alias("n"), *[F.sum(k * e).alias(n) for n, e in (("x", F.col("x")), ("y", F.col("y")), ("xx", F.col("x") * F.col("x")), ("yy", F.col("y") * F.col("y")), ("xy", F.col("x") * F.col("y")))])
     vx, vy = F.col("n") * F.col("xx") - F.col("x") ** 2, F.col("n") * F.col("yy") - F.col("y") ** 2
     r = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(F.when((vx > TOLERANCE) & (vy > TOLERANCE), vx * vy))
     return s.select(key, "n", F.when(F.col("n") >= 3, r).alias("spearman"))
@@ -66,34 +112,43 @@ def binned_boyce(df: DataFrame, key: str, score: str = "score", presence: str =
 def continuous_boyce(df: DataFrame, key: str, score: str = "score", presence: str = "is_presence", windows: int = 101) -> DataFrame:
     """(key, n, spearman): as the binned index, over overlapping closed windows a tenth of the background's range wide.
 
-    Scores are counted by value, and each value is put into the windows that hold it, so the work is the distinct
-    values times the windows. Successive equal ratios count once.
+    Scores are counted by value. The ends of the windows, to ten digits, are put among the values of their key, and what a
+    window holds is the difference of the running totals at its ends: no value is copied into the windows that hold it.
+    Successive equal ratios count once.
     """
     rows = df.where(finite(score).isNotNull())
-    span = rows.where(~F.col(presence)).groupBy(key).agg(F.min(score).alias("low"), F.max(score).alias("high"))
-    values = rows.groupBy(key, score).agg(F.count_if(F.col(presence)).alias("p"), F.count_if(~F.col(presence)).alias("b")).join(span, key).where("high > low")
-    width = (F.col("high") - F.col("low")) / 10.0
+    span = rows.where(~F.col(presence)).groupBy(key).agg(F.min(score).alias("low"), F.max(score).alias("high")).where("high > low")
+    values = rows.groupBy(key, F.col(score).cast("double").alias("at")).agg(F.count_if(F.col(presence)).alias("p"), F.count_if(~F.col(presence)).alias("b")).join(span.select(key), key, "left_semi")
+    width, half = (F.col("high") - F.col("low")) / 10.0, F.lit(0.5e-10)
     start = F.col("low") + F.col("w") * ((F.col("high") - F.col("low") - width) / float(windows - 1))
-    placed = values.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(windows - 1)))).where((F.round(F.col(score) - start, 10) >= 0) & (F.round(F.col(score) - start - width, 10) <= 0))
-    counted = placed.groupBy(key, "w").agg(F.sum("p").alias("p"), F.sum("b").alias("b"))
-    total = values.groupBy(key).agg(F.sum("p").alias("np"), F.sum("b").alias("nb"))
+    ends = span.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
+    ends = ends.select(key, "w", F.explode(F.array(F.struct((start - half).alias("at"), F.lit(-1).alias("sign")), F.struct((start + width + half).alias("at"), F.lit(1).alias("sign")))).alias("e")).select(key, "w", "e.*")
+    marks = F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "sign")))  # no more than there are windows
+    placed = values.select(key, "at", "p", "b", F.lit(None).cast("int").alias("w"), F.lit(None).cast("int").alias("sign")).unionByName(ends.select(key, "at", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("b"), "w", "sign"))
+    totals = running_totals(placed.groupBy(key, "at").agg(F.sum("p").alias("p"), F.sum("b").alias("b"), marks.alias("marks")), key, "at", ["p", "b"])
+    # values below the lower end, and up to the upper one
+    up_to = lambda c: F.when(F.col("m.sign") < 0, F.col(f"{c}_to") - F.col(c)).otherwise(F.col(f"{c}_to")) * F.col("m.sign")
+    counted = totals.withColumn("m", F.explode("marks")).groupBy(key, F.col("m.w").alias("w")).agg(F.sum(up_to("p")).alias("p"), F.sum(up_to("b")).alias("b"), F.max("p_all").alias("np"), F.max("b_all").alias("nb"))
     ratio = F.round((F.col("p") / F.nullif(F.col("np"), F.lit(0)).cast("double")) / (F.col("b") / F.nullif(F.col("nb"), F.lit(0)).cast("double")), 10)
-    ratios = counted.where("b > 0").join(total, key).select(key, F.col("w").cast("double").alias("w"), ratio.alias("ratio"))
+    ratios = counted.where("b > 0").select(key, F.col("w").cast("double").alias("w"), ratio.alias("ratio"))
     before = F.lag("ratio").over(Window.partitionBy(key).orderBy("w"))
     return spearman(ratios.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("ratio"))), key, "w", "ratio")
 
 
 def weighted_quantiles(df: DataFrame, key: str, value: str, weight: str, at: Sequence[float]) -> DataFrame:
-    """(key, q, value): linear between mid-point cumulative weights, clamped at the ends; equal values are one."""
+    """(key, q, value): linear between mid-point cumulative weights, clamped at the ends; equal values are one.
+
+    Weights are added up in shares; a quantile lies between the last value at or before it and the first one after it,
+    which are a maximum and a minimum.
+    """
     v = df.where((finite(value).isNotNull()) & (F.col(weight) > 0)).groupBy(key, F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
-    up = Window.partitionBy(key).orderBy("v")
-    total = F.sum("w").over(Window.partitionBy(key))
-    cdf = v.select(key, "v", ((F.sum("w").over(up.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w") / 2.0) / total).alias("c"))
-    seg = cdf.select(key, "v", "c", F.lead("v").over(up).alias("v2"), F.lead("c").over(up).alias("c2"), F.row_number().over(up).alias("i"))
-    out = seg.select("*", F.explode(F.array(*[F.lit(float(q)) for q in at])).alias("q"))
-    hit = (F.col("i") == 1) & (F.col("q") < F.col("c")) | F.col("v2").isNull() & (F.col("q") >= F.col("c")) | (F.col("c") <= F.col("q")) & (F.col("q") < F.col("c2"))
-    inside = F.col("v") + (F.col("q") - F.col("c")) / (F.col("c2") - F.col("c")) * (F.col("v2") - F.col("v"))
-    return out.where(hit).select(key, "q", F.when(F.col("v2").isNull() | (F.col("q") < F.col("c")), F.col("v")).otherwise(inside).alias("value"))
+    cdf = running_totals(v, key, "v", ["w"]).select(key, "v", ((F.col("w_to") - F.col("w") / 2.0) / F.col("w_all")).alias("c"))
+    point, q_of = F.struct("c", "v"), [F.lit(float(q)) for q in at]
+    ends = [F.struct(q.alias("q"), F.max(F.when(F.col("c") <= q, point)).alias("low"), F.min(F.when(F.col("c") > q, point)).alias("high")) for q in q_of]
+    e = cdf.groupBy(key).agg(F.array(*ends).alias("ends")).select(key, F.explode("ends").alias("e"))
+    low, high = F.col("e.low"), F.col("e.high")
+    inside = low.v + (F.col("e.q") - low.c) / (high.c - low.c) * (high.v - low.v)
+    return e.select(key, F.col("e.q").alias("q"), F.when(low.isNull(), high.v).when(high.isNull(), low.v).otherwise(inside).alias("value"))
 
 
 def direction_changes(df: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions.values import finite, grid_cell, haversine_km, number, require_columns, unit_sphere
 
+from .metrics import running_totals
 from .partitions import sample_rows
 
 Box = tuple[float, float, float, float]
@@ -317,15 +318,20 @@ def largest_gap(df: DataFrame, key: str) -> DataFrame:
 
 
 def evenly_spaced(df: DataFrame, order: str, k: int, key: str) -> DataFrame:
-    """Of each key's rows in order, those at the rounded places of ``k`` even steps from first to last."""
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    n = F.count("*").over(Window.partitionBy(key))
-    rows = df.withColumns({"_i": nth, "_n": n})
-    if k < 2:
-        return rows.where("_i = 0").drop("_i", "_n")
-    step = (F.col("_n") - 1) / F.lit(float(k - 1))
-    picked = F.exists(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.rint(j * step) == F.col("_i"))
-    return rows.where(picked).drop("_i", "_n")
+    """Of each key's rows in order, those at the rounded places of ``k`` even steps from first to last.
+
+    Places come from totals over the values of ``order`` that run in shares; only rows of a value that holds a wanted
+    place are numbered, among themselves.
+    """
+    values = df.groupBy(F.col(key).alias("_k"), F.col(order).alias("_v")).agg(F.count("*").alias("_n"))
+    totals = running_totals(values, "_k", "_v", ["_n"]).withColumn("_first", F.col("_n_to") - F.col("_n"))
+    step = (F.col("_n_all") - 1) / F.lit(float(max(k - 1, 1)))
+    places = F.transform(F.sequence(F.lit(0), F.lit(max(k - 1, 0))), lambda j: F.rint(j * step).cast("long")) if k >= 2 else F.array(F.lit(0).cast("long"))
+    inside = F.array_distinct(F.filter(places, lambda i: (i >= F.col("_first")) & (i < F.col("_n_to"))))
+    wanted = totals.select("_k", "_v", "_first", inside.alias("_at")).where(F.size("_at") > 0)
+    rows = df.join(wanted, F.col(key).eqNullSafe(F.col("_k")) & F.col(order).eqNullSafe(F.col("_v")))
+    nth = F.row_number().over(Window.partitionBy("_k", "_v").orderBy(order)) - 1 + F.col("_first")
+    return rows.withColumn("_i", nth).where(F.array_contains("_at", F.col("_i"))).select(*df.columns)
 
 
 def nearest_planar(df: DataFrame, focal: DataFrame, keys: Sequence[str], x: str, y: str, identity: str) -> DataFrame:

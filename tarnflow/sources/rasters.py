@@ -24,8 +24,9 @@ class Grid:
 def sample_points(points: DataFrame, pixels: DataFrame, grid: Grid, nodata: float | None = None, scale: float = 1.0, offset: float = 0.0) -> DataFrame:
     """``points`` with (predictor, value): the pixel that holds each point, scaled; null outside or where there is no data.
 
-    ``pixels`` is (predictor, ty, tx, values): one row a tile of a layer, values row by row. Points are put into tiles
-    and joined by tile, so each tile is read once however many points lie in it.
+    ``pixels`` is (predictor, ty, tx, values): one row a tile of a layer, values row by row. The layers of a tile become
+    one row, and points are joined to it by tile: each tile is read once however many points lie in it, and points are not
+    multiplied by layers before the join. ``geotiff.sample_layers`` reads files themselves.
     """
     col = F.floor((F.col("longitude") - grid.west) / grid.pixel)
     row = F.floor((grid.north - F.col("latitude")) / grid.pixel)
@@ -33,12 +34,13 @@ def sample_points(points: DataFrame, pixels: DataFrame, grid: Grid, nodata: floa
     placed = points.withColumns({"_c": F.when(inside, col), "_r": F.when(inside, row)})
     placed = placed.withColumns({"tx": F.floor(F.col("_c") / grid.tile), "ty": F.floor(F.col("_r") / grid.tile)})
     at = (F.col("_r") % grid.tile) * grid.tile + F.col("_c") % grid.tile
-    raw = F.element_at("values", (at + 1).cast("int"))
+    names = [r[0] for r in pixels.select("predictor").distinct().orderBy("predictor").collect()]  # a row a layer
+    tiles = pixels.groupBy("ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct("predictor", "values"))).alias("_tiles"))
+    held = placed.join(tiles, ["ty", "tx"], "left").select(*points.columns, at.cast("int").alias("_at"), "_tiles", F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("predictor"))
+    raw = F.get(F.try_element_at("_tiles", F.col("predictor")), F.col("_at"))
     if nodata is not None:
         raw = F.when(raw != nodata, raw)
-    layers = pixels.select("predictor").distinct()
-    every = placed.crossJoin(F.broadcast(layers)) if layers.count() <= 1000 else placed.join(layers)
-    return every.join(pixels, ["predictor", "ty", "tx"], "left").select(*points.columns, "predictor", (raw * scale + offset).alias("value"))
+    return held.select(*points.columns, "predictor", (raw * scale + offset).alias("value"))
 
 
 def annual_features(df: DataFrame, months: Sequence[str], require_complete_year: bool = True) -> DataFrame:

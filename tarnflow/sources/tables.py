@@ -7,10 +7,10 @@ import json
 import re
 import time
 import zipfile
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Names of columns by their other spellings (fixed values).
@@ -188,16 +188,51 @@ def match_taxon(answer: dict) -> tuple[str, str]:
     return str(usage["key"]), usage.get("name", "")
 
 
-def scan_artifacts(spark: SparkSession, root: str, purpose: str, expected: int | None = None) -> DataFrame:
-    """(folder, contract columns) of the JSON contracts below ``root`` with a purpose; each folder once, as many as expected."""
+def scan_artifacts(spark: SparkSession, root: str, purpose: str, expected: int | None = None, demand: Mapping[str, object] | None = None) -> DataFrame:
+    """(folder, contract columns) of the JSON contracts below ``root`` with a purpose; each folder once, as many as expected.
+
+    Columns that ``demand`` names must have its value in every contract, or the scan fails.
+    """
     found = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "contract.json").json(root)
-    found = found.withColumn("folder", F.regexp_replace(F.input_file_name(), "/[^/]*$", "")).where(F.col("purpose") == purpose)
-    n, distinct = found.agg(F.count("*"), F.countDistinct("folder")).first()
+    found = found.select("*", _folder().alias("folder")).where(F.col("purpose") == purpose)
+    wrong = [F.count_if(~F.coalesce(F.col(c).eqNullSafe(F.lit(v)), F.lit(False))).alias(f"wrong_{c}") for c, v in (demand or {}).items()]
+    n, distinct, *bad = found.agg(F.count("*"), F.countDistinct("folder"), *wrong).first()
     if n != distinct or (expected is not None and n != expected):
         raise ValueError(f"{n} contracts in {distinct} folders, expected {expected}")
+    if any(bad):
+        raise ValueError("contracts break their demands: " + ", ".join(c for c, k in zip(demand or (), bad, strict=True) if k))
     return found
 
 
+def _folder() -> Column:
+    return F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+
+
+def read_siblings(spark: SparkSession, root: str, contracts: DataFrame, kinds: Mapping[str, str], keys: Sequence[str], optional: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """The CSV tables beside the contracts, by file name: every row with the columns of its folder's contract.
+
+    ``kinds`` gives each file's schema, so that all folders are read as one table without a look into each; rows are
+    joined to contracts by folder, and files elsewhere are left out. A contract without any row of a kind that is not
+    ``optional`` fails its table when that is read, as do contracts that share the values of ``keys``. A column of a table
+    that a contract has as well keeps the table's value.
+    """
+    same = F.count("*").over(Window.partitionBy(*keys))
+    # in filters, which no column pruning takes away
+    refuse = lambda bad, text: F.when(bad, F.raise_error(F.concat(F.lit(text), F.col("folder"))).cast("boolean")).otherwise(True)
+    held = contracts.withColumn("_same", same).where(refuse(F.col("_same") > 1, "contracts share their keys: ")).drop("_same")
+    out = {}
+    for name, schema in kinds.items():
+        found = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).csv(root)
+        rows = found.select(_folder().alias("folder"), F.lit(True).alias("_there"), "*")
+        mine = held.select(*[c for c in held.columns if c not in found.columns])
+        if name in optional:
+            out[name] = mine.join(rows, "folder").drop("_there")
+            continue
+        both = mine.join(rows, "folder", "left")
+        out[name] = both.where(refuse(F.col("_there").isNull(), f"no rows of {name} in ")).drop("_there")
+    return out
+
+
 def read_choices(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of lines key=value; empty lines and comments are left out, a key may not repeat."""
     lines = spark.read.text(path).where("trim(value) <> '' and trim(value) not like '#%'")
