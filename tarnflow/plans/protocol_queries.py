@@ -135,3 +135,12 @@ def _(spark, sf):
     finally:
         rows.unpersist()
     return spark.createDataFrame(got, "taxon string, step int, winner string, front string")
+
+
+@register("drop_group_importance")
+def _(spark, sf):
+    from tarnflow.operators.procedures import drop_group_importance
+
+    rows = _cells(spark, sf).withColumn("role", F.when(F.col("vec_id") % 5 == 0, "sealed").otherwise("model"))
+    groups = {f"e{i}": f"eq{i // 2 + 1:03d}" for i in range(8)}
+    return drop_group_importance(rows, "all", F.col("y"), ["all"], list(groups), groups, L.ModelSpec())
