@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.functions.values import TOLERANCE, finite
@@ -96,17 +96,27 @@ def spearman(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
 
     for side, name in (("_a", "x"), ("_b", "y")):
         rows = rows.join(ranked(side, name), F.col(key).eqNullSafe(F.col(f"_{name}key")) & (F.col(side) == F.col(f"_{name}at"))).drop(f"_{name}key", f"_{name}at")
-    k = F.col("k")
-    s = rows.groupBy(key).agg(F.sum(k).alias("n"), *[F.sum(k * e).alias(n) for n, e in (("x", F.col("x")), ("y", F.col("y")), ("xx", F.col("x") * F.col("x")), ("yy", F.col("y") * F.col("y")), ("xy", F.col("x") * F.col("y")))])
+    return _correlation(rows, key, F.col("k"))
+
+
+def _correlation(ranked: DataFrame, key: str, k: Column) -> DataFrame:
+    """(key, n, spearman) of ranks x and y that ``k`` rows have."""
+    s = ranked.groupBy(key).agg(F.sum(k).alias("n"), *[F.sum(k * e).alias(n) for n, e in (("x", F.col("x")), ("y", F.col("y")), ("xx", F.col("x") * F.col("x")), ("yy", F.col("y") * F.col("y")), ("xy", F.col("x") * F.col("y")))])
     vx, vy = F.col("n") * F.col("xx") - F.col("x") ** 2, F.col("n") * F.col("yy") - F.col("y") ** 2
     r = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(F.when((vx > TOLERANCE) & (vy > TOLERANCE), vx * vy))
     return s.select(key, "n", F.when(F.col("n") >= 3, r).alias("spearman"))
 
 
+def _window_spearman(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """``spearman`` for keys of as many rows as an index has windows: ranked by key as they are."""
+    rows = df.where(finite(a).isNotNull() & finite(b).isNotNull())
+    return _correlation(rows.select(key, average_rank(a, key).alias("x"), average_rank(b, key).alias("y")), key, F.lit(1).cast("long"))
+
+
 def binned_boyce(df: DataFrame, key: str, score: str = "score", presence: str = "is_presence") -> DataFrame:
     """(key, n, spearman): correlation of bin and observed / expected ratio; ``n`` bins have background."""
     ratios = boyce_bins(df, key, score, presence).where("expected > 0").select(key, F.col("bin").cast("double").alias("bin"), (F.col("observed") / F.col("expected")).alias("ratio"))
-    return spearman(ratios.withColumn("ratio", F.round("ratio", 10)), key, "bin", "ratio")
+    return _window_spearman(ratios.withColumn("ratio", F.round("ratio", 10)), key, "bin", "ratio")
 
 
 def continuous_boyce(df: DataFrame, key: str, score: str = "score", presence: str = "is_presence", windows: int = 101) -> DataFrame:
@@ -132,7 +142,7 @@ def continuous_boyce(df: DataFrame, key: str, score: str = "score", presence: st
     ratio = F.round((F.col("p") / F.nullif(F.col("np"), F.lit(0)).cast("double")) / (F.col("b") / F.nullif(F.col("nb"), F.lit(0)).cast("double")), 10)
     ratios = counted.where("b > 0").select(key, F.col("w").cast("double").alias("w"), ratio.alias("ratio"))
     before = F.lag("ratio").over(Window.partitionBy(key).orderBy("w"))
-    return spearman(ratios.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("ratio"))), key, "w", "ratio")
+    return _window_spearman(ratios.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("ratio"))), key, "w", "ratio")
 
 
 def weighted_quantiles(df: DataFrame, key: str, value: str, weight: str, at: Sequence[float]) -> DataFrame:
