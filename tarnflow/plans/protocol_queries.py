@@ -127,7 +127,7 @@ def _(spark, sf):
 def _(spark, sf):
     from tarnflow.operators.recovery import observation_weights, recovery_forward
 
-    rows, features = _cells(spark, sf).persist(), [f"e{i}" for i in range(8)]
+    rows, features = _cells(spark, sf).persist(), [f"e{i}" for i in range(4)]
     try:
         weights = observation_weights(rows, "all", F.col("y"), ["e6", "e7"], [0, 1, 2], "vec_id").persist()
         got = recovery_forward(rows, "all", F.col("y"), ["all"], features, [0, 1, 2], features, L.ModelSpec(), weights=weights, row="vec_id")
