@@ -58,6 +58,18 @@ def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str
     return left.join(right, list(on), how)
 
 
+#: Shares that the rows of a key are dealt into for a join with few rows a key.
+DEALT = 64
+
+
+def dealt_join(rows: DataFrame, few: DataFrame, on: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """An inner join of ``rows`` with a table of few rows a key, which is copied into shares that ``rows`` are dealt to by a
+    hash of columns ``by``, so that no task reads or sorts a key whole, however few the keys."""
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(*by), F.lit(DEALT)).cast("int"))
+    copies = few.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    return dealt.join(copies, [*on, "_deal"]).drop("_deal")
+
+
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left many-to-one join that refuses rows without a match."""
     if not left.join(right, list(on), "left_anti").isEmpty():

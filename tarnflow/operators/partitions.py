@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.functions.values import unit_sphere
+from tarnflow.functions.values import DEALT, dealt_join, unit_sphere
 
 ROLE, BLOCK = "role", "block"
 
@@ -149,20 +149,22 @@ def blocks_by_key(df: DataFrame, key: str, n_blocks: int, seed: int, rounds: int
     """``df`` with ``block``: for every key by itself at most ``n_blocks`` clusters of its places on the unit sphere.
 
     Lloyd's steps for all keys together: each is a join of places (hundredths of a degree, once each) with their key's few
-    centres and one aggregation by (key, centre), so no key's rows meet in one task. Centres start at places drawn by a
-    seeded hash; a key with fewer places has as many blocks. Rows without coordinates are left out.
+    centres, which are copied into shares of the key, and one aggregation by (key, centre), so no key's rows meet in one
+    task. Centres start at places drawn by a seeded hash, the first of each share before those of the key; a key with fewer places has as many blocks. Rows without coordinates are left out.
     """
     lon, lat = F.round("longitude", 2), F.round("latitude", 2)
     placed = df.where(F.col(key).isNotNull() & F.col("longitude").isNotNull() & F.col("latitude").isNotNull()).withColumns({"_lon": lon, "_lat": lat})
     x, y, z = unit_sphere(F.col("_lon"), F.col("_lat"))
     places = placed.select(key, "_lon", "_lat").distinct().withColumns({"_x": x, "_y": y, "_z": z})
-    drawn = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), key, "_lon", "_lat"), "_lon", "_lat"))
-    centres = places.withColumn("_i", drawn).where(F.col("_i") <= n_blocks)
+    order = (F.xxhash64(F.lit(seed), key, "_lon", "_lat"), "_lon", "_lat")
+    shared = places.withColumn("_share", F.pmod(F.xxhash64("_lon", "_lat"), F.lit(DEALT)))
+    first = shared.withColumn("_i", F.row_number().over(Window.partitionBy(key, "_share").orderBy(*order))).where(F.col("_i") <= n_blocks).drop("_share")
+    centres = first.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_i") <= n_blocks)
     apart = lambda c: F.round((F.col("_x") - c["_x"]) ** 2 + (F.col("_y") - c["_y"]) ** 2 + (F.col("_z") - c["_z"]) ** 2, 12)
 
     def nearest(rows: DataFrame, now: DataFrame) -> DataFrame:
         few = now.groupBy(key).agg(F.collect_list(F.struct("_i", "_x", "_y", "_z")).alias("_c"))  # n_blocks at most
-        return rows.join(few, key).withColumn(BLOCK, F.array_min(F.transform("_c", lambda c: F.struct(apart(c).alias("d"), c["_i"].alias("i"))))["i"]).drop("_c")
+        return dealt_join(rows, few, [key], ["_lon", "_lat"]).withColumn(BLOCK, F.array_min(F.transform("_c", lambda c: F.struct(apart(c).alias("d"), c["_i"].alias("i"))))["i"]).drop("_c")
 
     for _ in range(rounds):
         centres = nearest(places, centres).groupBy(key, F.col(BLOCK).alias("_i")).agg(*[F.round(F.avg(c), 12).alias(c) for c in ("_x", "_y", "_z")])
