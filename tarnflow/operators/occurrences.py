@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.functions.values import finite, grid_cell, haversine_km, number, require_columns, unit_sphere
+from tarnflow.functions.values import dealt_join, finite, grid_cell, haversine_km, number, require_columns, unit_sphere
 
 from .metrics import running_totals
 from .partitions import sample_rows
@@ -118,12 +118,15 @@ def species_gate(df: DataFrame, cell: float, least_rows: int, least_cells: int)
 def select_taxa(df: DataFrame, taxa: DataFrame) -> DataFrame:
     """Rows of ``df`` for each configured taxon (taxon, key): by key if any row has it, else by case-folded name.
 
-    ``mode`` tells which; a row may serve more than one taxon. A configuration of any size joins as Spark sees fit.
+    ``mode`` tells which; a row may serve more than one taxon. A configuration of any size joins as Spark sees fit; rows
+    of a common key or name are dealt to many tasks.
     """
-    by_key = df.join(taxa.select("taxon", F.col("key").alias("_key")), F.col("taxonKey") == F.col("_key")).withColumn("mode", F.lit("key"))
+    by = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    by_key = dealt_join(df.withColumn("_key", F.col("taxonKey")), taxa.select("taxon", F.col("key").alias("_key")), ["_key"], by).drop("_key").withColumn("mode", F.lit("key"))
     found = by_key.select("taxon").distinct()
-    by_name = df.join(taxa.join(found, "taxon", "left_anti").select("taxon"), F.lower(F.trim("species")) == F.lower(F.trim("taxon")))
-    return by_key.drop("_key").unionByName(by_name.withColumn("mode", F.lit("name")))
+    names = taxa.join(found, "taxon", "left_anti").select("taxon", F.lower(F.trim("taxon")).alias("_name"))
+    by_name = dealt_join(df.withColumn("_name", F.lower(F.trim("species"))), names, ["_name"], by).drop("_name")
+    return by_key.unionByName(by_name.withColumn("mode", F.lit("name")))
 
 
 def taxon_ledger(df: DataFrame, taxa: DataFrame) -> DataFrame:

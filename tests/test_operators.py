@@ -302,3 +302,57 @@ def test_marginal_score_spans_the_reference(spark, monkeypatch):
                 else:
                     assert abs(got[i] - np.mean([p(a, *h) if len(h) == 2 else p(a, h[0], c) for h in held])) < 1e-9
     assert {r["score"] for r in L.marginal_score(df, fit, ["b"], df.where("b is null")).collect()} == {None}
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    """Joins as large tables have them: by a shuffle, as planned."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def largest_share(df):
+    n = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(n) / sum(n)
+
+
+def test_one_name_is_dealt_to_many_tasks(spark, shuffled_joins):
+    from tarnflow.operators import occurrences as O
+
+    df = spark.range(8000).selectExpr("id AS row_id", "' Wolf' AS species", "CAST(7 AS long) AS taxonKey")
+    for taxa, mode in (([("wolf", None), ("lynx", 3)], "name"), ([("any", 7)], "key")):
+        got = O.select_taxa(df, spark.createDataFrame(taxa, "taxon string, key long"))
+        assert {(r["mode"], r["taxon"], r["count"]) for r in got.groupBy("mode", "taxon").count().collect()} == {(mode, taxa[0][0], 8000)}
+        assert largest_share(got) < 0.5
+
+
+def test_blocks_of_one_key_are_dealt_to_many_tasks(spark, shuffled_joins):
+    from tarnflow.operators import partitions as P
+
+    df = spark.range(8000).selectExpr("id AS row_id", "'k' AS key", "CAST(id % 100 AS double) AS longitude", "CAST(id div 100 AS double) AS latitude")
+    got = P.blocks_by_key(df, "key", 5, 3, rounds=1)
+    assert largest_share(got) < 0.5 and got.count() == 8000 and got.select("block").distinct().count() == 5
+
+
+def test_near_points_are_looked_for_first(spark):
+    """Many points close together, at a pole and over the dateline: small radii first, and the same nearest points."""
+    from tarnflow.operators import occurrences as O
+
+    rng = np.random.default_rng(8)
+    near = lambda lon, lat, n: np.stack([(lon + rng.normal(size=n) * 0.1 + 180) % 360 - 180, np.clip(lat + rng.normal(size=n) * 0.1, -90, 90)], 1)
+    rows = np.concatenate([near(179.95, 10, 300), near(0, 90, 200), near(5, 5, 100), near(5.9, 5, 50), near(7.5, 5, 50)])
+    focal = np.concatenate([near(-179.95, 10, 300), near(120, 90, 200), near(5, 5, 300)])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "row_id int, longitude double, latitude double")
+    f = spark.createDataFrame([tuple(map(float, r)) for r in focal], "longitude double, latitude double")
+    got = {r.row_id: r.nearest_km for r in O.within_distance(df, f, 150.0).collect()}
+    a, b = np.radians(rows)[:, None], np.radians(focal)[None]
+    h = np.sin((b[..., 1] - a[..., 1]) / 2) ** 2 + np.cos(a[..., 1]) * np.cos(b[..., 1]) * np.sin((b[..., 0] - a[..., 0]) / 2) ** 2
+    km = (2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(h, 1)))).min(1)
+    assert set(got) == set(np.flatnonzero(km <= 150).tolist()) and np.allclose([got[i] for i in sorted(got)], km[km <= 150])
+    x, y, z = O.unit_sphere(F.col("longitude"), F.col("latitude"))
+    assert O._first_radius(f.select(x.alias("_fx"), y.alias("_fy"), z.alias("_fz")), 150.0) < 10
