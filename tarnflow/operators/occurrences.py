@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.functions.values import dealt_join, finite, grid_cell, haversine_km, number, require_columns, unit_sphere
+from tarnflow.functions.values import EARTH_KM, dealt_join, finite, grid_cell, haversine_km, number, require_columns, unit_sphere
 
 from .metrics import running_totals
 from .partitions import sample_rows
@@ -261,41 +263,62 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
 
 
-#: Degrees of the smallest cell of the distance join.
-LEAST_CELL = 0.05
+#: Radii of the distance join are halved this often at most to find the first; focal points of a cell that it may hold on
+#: average; how much wider each radius is than the one before.
+HALVINGS, CELL_POINTS, WIDER = 10, 16, 4.0
 
 
-def _cells_near(lon: Column, lat: Column, size: float, reach_km: float) -> Column:
-    """Grid cells (as x, y) that hold every point within reach of a point, over the dateline and at the poles."""
-    per_degree = 111.0
-    reach = reach_km / per_degree
-    n_x = round(360 / size)
-    low = F.floor((F.greatest(lat - reach, F.lit(-90.0)) + 90.0) / size)
-    high = F.floor((F.least(lat + reach, F.lit(90.0)) + 90.0) / size)
-    far = F.least(F.abs(lat) + reach, F.lit(90.0))
-    # at latitude beyond 89 every meridian may be near
-    wide = F.when(far >= 89.0, F.lit(180.0)).otherwise(F.least(F.lit(180.0), F.lit(1.02 * reach) / F.greatest(F.cos(F.radians(far)), F.lit(1e-3))))
-    left, right = F.floor((lon + 180.0 - wide) / size), F.floor((lon + 180.0 + wide) / size)
-    xs = F.array_distinct(F.transform(F.sequence(left, F.least(right, left + n_x - 1)), lambda x: F.pmod(x, F.lit(n_x))))
-    return F.flatten(F.transform(F.sequence(low, high), lambda y: F.transform(xs, lambda x: F.struct(x.alias("x"), y.alias("y")))))
+def _chord(km: float) -> float:
+    """The straight distance on the unit sphere of points that far apart."""
+    return 2.0 * math.sin(min(km / EARTH_KM, math.pi) / 2.0)
+
+
+def _cube(size: float, *at: Column) -> list[Column]:
+    return [F.floor(c / F.lit(size)) for c in at]
+
+
+def _first_radius(near: DataFrame, reach_km: float) -> float:
+    """The widest of the halved radii at which a focal point shares its cell with few others on average; the reach if there
+    is room enough. Counts of all points decide it, and it changes no result."""
+    sizes = [2.0 * _chord(reach_km / 2**j) for j in range(HALVINGS + 1)]
+    cells = near.select(F.explode(F.array(*[F.struct(F.lit(j).alias("j"), *[c.alias(n) for n, c in zip("abc", _cube(s, F.col("_fx"), F.col("_fy"), F.col("_fz")), strict=True)]) for j, s in enumerate(sizes)])).alias("c")).select("c.*")
+    held = cells.groupBy("j", "a", "b", "c").agg(F.count("*").cast("double").alias("n")).groupBy("j").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean"))
+    mean = {r["j"]: r["mean"] for r in held.collect()}
+    return reach_km / 2 ** next((j for j in range(HALVINGS + 1) if mean.get(j, 0.0) <= CELL_POINTS), HALVINGS)
+
+
+def _nearest_within(rows: DataFrame, near: DataFrame, km: float, identity: str) -> DataFrame:
+    """(identity, nearest_km) of the rows that have a focal point within ``km``: cubes twice as wide as the reach hold the
+    focal points that reach into them, and rows are joined by their one cube, alike at the poles and over the dateline."""
+    size, reach = 2.0 * _chord(km), _chord(km) * (1.0 + 1e-6)
+    spans = [F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size)) for c in ("_fx", "_fy", "_fz")]
+    cubes = F.flatten(F.transform(spans[0], lambda a: F.flatten(F.transform(spans[1], lambda b: F.transform(spans[2], lambda c: F.struct(a.alias("a"), b.alias("b"), c.alias("c")))))))
+    focal = near.select("flon", "flat", F.explode(cubes).alias("_c")).select("flon", "flat", "_c.*")
+    a, b, c = _cube(size, *unit_sphere(F.col("longitude"), F.col("latitude")))
+    d = haversine_km(F.col("longitude"), F.col("latitude"), F.col("flon"), F.col("flat"))
+    both = rows.withColumns({"a": a, "b": b, "c": c}).join(focal, ["a", "b", "c"]).select(identity, d.alias("km"))
+    return both.where(F.col("km") <= km).groupBy(identity).agg(F.min("km").alias("nearest_km"))
 
 
 def within_distance(df: DataFrame, focal: DataFrame, reach_km: float, identity: str = "row_id") -> DataFrame:
     """(identity, nearest_km) of the rows of ``df`` within reach of any focal row.
 
-    Focal points are put into every grid cell near them and joined by cell, so that distances are worked out for
-    neighbours alone; equal focal points count once. Cells follow the reach, down to a twentieth of a degree, since a
-    point near a pole is in every cell of its row. No side is broadcast.
+    Rows look for focal points within a small radius first, which follows how close those are, and only rows that find none
+    look within wider ones, up to the reach: a nearest point within a radius is the nearest of all, so that pairs grow
+    with the rows and not with their square where points lie ever closer. Equal focal points count once. What a radius
+    finds is kept as a local checkpoint. No side is broadcast whole by plan.
     """
-    size = max(LEAST_CELL, 2 * reach_km / 111.0)
-    size = 360.0 / max(1, int(360.0 / size))
     valid = lambda d: d.where(F.col("longitude").between(-180.0, 180.0) & F.col("latitude").between(-90.0, 90.0))
-    near = valid(focal).select(F.col("longitude").alias("flon"), F.col("latitude").alias("flat")).distinct()
-    near = near.select("flon", "flat", F.explode(_cells_near(F.col("flon"), F.col("flat"), size, reach_km)).alias("c")).select("flon", "flat", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
-    n_x = int(round(360 / size))
-    rows = valid(df).select(identity, "longitude", "latitude", F.pmod(F.floor((F.col("longitude") + 180.0) / size), F.lit(n_x)).alias("x"), F.floor((F.col("latitude") + 90.0) / size).alias("y"))
-    d = haversine_km(F.col("longitude"), F.col("latitude"), F.col("flon"), F.col("flat"))
-    return rows.join(near, ["x", "y"]).withColumn("km", d).where(F.col("km") <= reach_km).groupBy(identity).agg(F.min("km").alias("nearest_km"))
+    x, y, z = unit_sphere(F.col("flon"), F.col("flat"))
+    near = valid(focal).select(F.col("longitude").alias("flon"), F.col("latitude").alias("flat")).distinct().withColumns({"_fx": x, "_fy": y, "_fz": z})
+    rest = valid(df).select(identity, "longitude", "latitude")
+    radius, found = _first_radius(near, reach_km), []
+    while radius < reach_km:
+        found.append(_nearest_within(rest, near, radius, identity).localCheckpoint())
+        done = found[-1].select(F.col(identity).alias("_done"))
+        rest = rest.join(done, F.col(identity).eqNullSafe(F.col("_done")), "left_anti")
+        radius *= WIDER
+    return reduce(DataFrame.unionByName, [*found, _nearest_within(rest, near, reach_km, identity)])
 
 
 def nearest_centre(df: DataFrame, centres: Sequence[tuple[float, float, float]]) -> DataFrame:
