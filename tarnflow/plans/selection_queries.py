@@ -151,9 +151,13 @@ def _(spark, sf):
 @register("panel_chain", f"""WITH a AS (SELECT M, taxon, avg(presence_rank) AS v, count(DISTINCT candidate) AS n FROM metrics GROUP BY M, taxon), b AS (SELECT M, taxon, avg(overlap) AS o FROM metrics GROUP BY M, taxon), c AS (SELECT M, taxon, max(breadth_error) AS e FROM metrics GROUP BY M, taxon)
   SELECT M, taxon, n, {r('v', 'v', 6)}, {r('o', 'o', 6)}, {r('e', 'e', 6)} FROM a JOIN b USING (M, taxon) JOIN c USING (M, taxon)""")
 def _(spark, sf):
-    g = metrics(spark, sf).groupBy("M", "taxon")
-    parts = [g.agg(F.avg("presence_rank").alias("v"), F.countDistinct("candidate").alias("n")), g.agg(F.avg("overlap").alias("o")), g.agg(F.max("breadth_error").alias("e"))]
-    return rounded(S.panel_chain(metrics(spark, sf).select("M", "taxon").distinct(), parts, ["M", "taxon"]), 6)
+    m = metrics(spark, sf).persist()  # the checks of the chain read it many times
+    try:
+        g = m.groupBy("M", "taxon")
+        parts = [g.agg(F.avg("presence_rank").alias("v"), F.countDistinct("candidate").alias("n")), g.agg(F.avg("overlap").alias("o")), g.agg(F.max("breadth_error").alias("e"))]
+        return rounded(S.panel_chain(m.select("M", "taxon").distinct(), parts, ["M", "taxon"]), 6)
+    finally:
+        m.unpersist()
 
 
 @register("taxon_ledger", """WITH taxa(taxon, "key") AS (VALUES ('building', CAST(NULL AS BIGINT)), ('First key', 5), (' Machinery ', -1), ('no such', -2)), o AS (SELECT *, row_id % 50 AS taxonKey FROM occ),

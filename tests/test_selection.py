@@ -211,3 +211,19 @@ def test_matched_specifications(spark):
     for other in (rows[1:], [*rows[:2], ("b", 0.0)]):
         with pytest.raises(ValueError, match="differ"):
             S.assert_matched({"x": df(rows), "y": df(other)}, ["t", "v"])
+
+
+def test_panels_are_checked_over_kept_metrics(spark, monkeypatch):
+    """The joins behind the metrics, and what they broadcast, are not done again for each check of the chain."""
+    from tarnflow.operators import selection
+    from tarnflow.plans.registry import QUERIES
+
+    chain, plans = selection.panel_chain, []
+
+    def seen(panels, parts, on):
+        plans.extend(t._jdf.queryExecution().executedPlan().toString() for t in (panels, *parts))
+        return chain(panels, parts, on)
+
+    monkeypatch.setattr(selection, "panel_chain", seen)
+    assert QUERIES["panel_chain"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(plans) == 4 and all("InMemoryTableScan" in p for p in plans)
