@@ -37,13 +37,15 @@ NEIGHBOURS, BLOCK_ROWS = 512, 2048
 MOST_LIGHT, COMPARE_COST, BROADCAST_ROWS = 40, 4, 1_000_000
 #: Bits of the smallest and the largest parity map.
 _BITS, _MOST_BITS = 512, 4096
+#: Pairs of maps that are compared at once, of half a KB each; words whose hashes a worker keeps.
+MAPS_AT_ONCE, HASHED_WORDS = 1 << 14, 50_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > HASHED_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -87,6 +89,8 @@ def _apart(maps: np.ndarray, width: np.ndarray, x: np.ndarray, y: np.ndarray) ->
             out[own] = np.bitwise_xor.reduce(maps[rows[own], : w // 64].reshape(-1, w // to, to // 64), axis=1)
         return out
 
+    if len(x) > MAPS_AT_ONCE:
+        return np.concatenate([_apart(maps, width, x[i : i + MAPS_AT_ONCE], y[i : i + MAPS_AT_ONCE]) for i in range(0, len(x), MAPS_AT_ONCE)])
     narrow, out = np.minimum(width[x], width[y]), np.empty(len(x), np.int64)
     for to in np.unique(narrow):
         own = narrow == to
@@ -227,6 +231,9 @@ def _close_pairs(like: int, nearest: bool):
             out.append(np.stack([key[x], key[y], far] if nearest else [np.minimum(key[x], key[y]), np.maximum(key[x], key[y]), far], 1))
         return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
+    def padded(before: int, values: np.ndarray, after: int) -> pa.Array:
+        return pa.concat_arrays([pa.nulls(before, pa.int64()), pa.array(values, pa.int64()), pa.nulls(after, pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, maps = np.zeros((0, 7), np.int64), []
 
@@ -240,9 +247,9 @@ def _close_pairs(like: int, nearest: bool):
                     found.append(pairs_of(rows[i:j], bits[i:j]))
                 if j - i > 1 and len(found[-1]) or j - i > NEIGHBOURS or rows[i, 1]:
                     alive.append(int(rows[i, 0]))
-            pairs, alive = np.unique(np.concatenate(found), axis=0), np.unique(np.array(alive, np.int64)).tolist()
+            pairs, alive = np.unique(np.concatenate(found), axis=0), np.unique(np.array(alive, np.int64))
             n, m = len(pairs), len(alive)
-            yield pa.RecordBatch.from_arrays([pa.array([None] * n + alive, pa.int64()), *(pa.array(pairs[:, k].tolist() + [None] * m, pa.int64()) for k in range(3))], schema=schema)
+            yield pa.RecordBatch.from_arrays([padded(n, alive, 0), *(padded(0, pairs[:, k], m) for k in range(3))], schema=schema)
 
         for b in batches:
             held = np.concatenate([held, np.stack([c.to_numpy() for c in b.columns[:7]], 1)])
@@ -343,8 +350,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, like: int = LIKE) -
     discard(spark, made, met, several)
     release(spark)
 
-    described = materialise(spark, classes.join(heavy.select("key").distinct(), "key", "left_semi"), "jaccard-described")
-    discard(spark, classes)
+    described = classes  # all of them: the share that lists hold grows with the corpus, the classes as the rows do
     known = F.coalesce("doc_id", F.lit(-(1 << 63)))
     same_text = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
 

@@ -107,3 +107,17 @@ def test_boundary_follows_cost():
 def test_nothing(spark):
     assert J.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert J.jaccard_components(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()[0].component_id == 1
+
+
+def test_maps_are_compared_a_few_at_a_time(monkeypatch):
+    """Pairs beyond what is compared at once give the same distances."""
+    import numpy as np
+
+    from tarnflow.llm import jaccard as J
+
+    rng = np.random.default_rng(4)
+    maps = rng.integers(0, 1 << 63, size=(50, 16), dtype=np.uint64)
+    width, x, y = np.where(np.arange(50) % 2, 512, 1024), rng.integers(0, 50, 1000), rng.integers(0, 50, 1000)
+    whole = J._apart(maps, width, x, y)
+    monkeypatch.setattr(J, "MAPS_AT_ONCE", 64)
+    assert (J._apart(maps, width, x, y) == whole).all()
