@@ -24,7 +24,7 @@ from .common import hold, materialise, table
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a worker keeps; pieces of one length that one task ranks.
-CACHE_WORDS, RANK_ROWS = 400_000, 2_000
+CACHE_WORDS, RANK_ROWS = 100_000, 2_000
 
 
 class _Words(dict):
@@ -46,11 +46,16 @@ class _Words(dict):
         return ids
 
     def learn(self, words: set[str]) -> None:
-        """Adds what is new; of a word of plain letters, with or without a stop or comma, only the model's merges run."""
-        if len(self) > CACHE_WORDS:
+        """Adds what is new; of a word of plain letters, with or without a stop or comma, only the model's merges run.
+
+        Where it would grow beyond ``CACHE_WORDS``, what these words do not need goes first.
+        """
+        known = self.keys()
+        if len(self) + len(words - known) > CACHE_WORDS:
+            needed = {w: self[w] for w in words & known}
             self.clear()
             self[""] = b""
-        known = self.keys()
+            self.update(needed)
         for w in words - known:
             stem = w[:-1] if w[-1] in ",." else w
             if not stem.isalpha() or max(stem) > "\xff":
@@ -77,8 +82,8 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     return [b"".join(map(held.__getitem__, p)) for p in parts]
 
 
-def _all_ids(texts: pa.Array, path: str, together: int = 2 << 20) -> Iterator[bytes]:
-    """The ids of each text, a few MB of text at a time."""
+def _all_ids(texts: pa.Array, path: str, together: int = 1 << 19) -> Iterator[bytes]:
+    """The ids of each text, half a million letters at a time: all words of a group are held at once."""
     held, weight = [], 0
     for t in texts:
         held.append(t.as_py() or "")

@@ -57,6 +57,19 @@ def test_fixed_sets_never_cost_a_bin():
         assert sum(t for _, t in fixed) + (least_bins(rest, 20) if rest else 0) == least_bins(items, 20)
 
 
+def test_words_held_are_bounded(monkeypatch):
+    monkeypatch.setattr(K, "CACHE_WORDS", 100)
+    held, plain = K._Words(PATH), Tokenizer.from_file(PATH)
+    letters = "bcdfghklmn"
+    words = [a + b + c + "ar" for a in letters for b in letters for c in letters]
+    for i in range(0, 600, 60):
+        own = {*words[i : i + 60], "again"}
+        held.learn(own)
+        assert len(held) <= 101 and own <= held.keys()
+        for w in own:
+            assert held[w] == np.array(plain.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def test_tokens_are_the_tokenizers():
     held = Tokenizer.from_file(PATH)
     texts = ["", " a  b\t", "Hello, WORLD.!\r\nit's I'LL", "İstanbul ΑΣ straße ﬁ é 漢字", "x<|endoftext|>y <|STARTOFTEXT|>", "q" * 3000]
