@@ -8,6 +8,7 @@ pieces find their place by their rank among pieces of the same length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,12 +24,37 @@ from pyspark.sql import functions as F
 from .common import hold, materialise, table
 
 CAPACITY, END_ID = 2048, 0
-#: Words whose ids a worker keeps; pieces of one length that one task ranks.
-CACHE_WORDS, RANK_ROWS = 100_000, 2_000
+#: Pieces of text whose ids a worker keeps; pieces of one length that one task ranks.
+CACHE_WORDS, RANK_ROWS = 200_000, 2_000
+
+#: The tokenizer's own split, for lower-cased text below U+0100: there these are all letters, digits and spaces.
+_LETTERS, _DIGITS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+_split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACES}{_LETTERS}{_DIGITS}]+").findall
+#: What that split does not know: characters from U+0100 on, and what may begin a special token.
+_odd = re.compile(r"[^\0-\xff]|<\|").finditer
+
+
+def _pieces(text: str) -> list[str]:
+    """What ``text`` is cut into for its ids: pieces of the tokenizer's split, and whole, between blanks, the words that
+    hold something odd. The tokenizer never joins across a blank, and special tokens hold none."""
+    try:
+        text.encode("latin-1")
+        if "<|" not in text:
+            return _split(text.lower())
+    except UnicodeEncodeError:
+        pass
+    out, done, text = [], 0, text.replace("\n", " ")
+    for m in _odd(text):
+        if m.start() >= done:
+            first, last = text.rfind(" ", done, m.start()) + 1 or done, text.find(" ", m.end())
+            out += _split(text[done:first].lower())
+            done = len(text) if last < 0 else last
+            out.append(text[first:done])
+    return out + _split(text[done:].lower())
 
 
 class _Words(dict):
-    """Ids, as little-endian bytes, of the strings between blanks: the tokenizer never joins across a blank."""
+    """Ids, as little-endian bytes, of pieces of text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -39,34 +65,33 @@ class _Words(dict):
         #: How byte-level models spell the letters below U+0100, which no normalisation changes but for their case.
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.spelling = {i: spell(chr(i))[0][0] for i in range(170, 256)}
-        self[""] = b""
+        #: Kept pieces that were wanted again since others last went.
+        self.again: set[str] = set()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = np.array(self.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return ids
 
-    def learn(self, words: set[str]) -> None:
-        """Adds what is new; of a word of plain letters, with or without a stop or comma, only the model's merges run.
+    def learn(self, pieces: set[str]) -> None:
+        """Adds what is new; of plain letters only the model's merges run.
 
-        Where it would grow beyond ``CACHE_WORDS``, what these words do not need goes first.
+        Where it would grow beyond ``CACHE_WORDS``, what was not wanted again goes first, or all that these do not need.
         """
-        known = self.keys()
-        if len(self) + len(words - known) > CACHE_WORDS:
-            needed = {w: self[w] for w in words & known}
+        found = pieces & self.keys()
+        new = pieces - found
+        if len(self) + len(new) > CACHE_WORDS:
+            kept = self.again | found
+            needed = {w: self[w] for w in (kept if len(kept) + len(new) <= CACHE_WORDS else found)}
             self.clear()
-            self[""] = b""
             self.update(needed)
-        for w in words - known:
-            stem = w[:-1] if w[-1] in ",." else w
-            if not stem.isalpha() or max(stem) > "\xff":
-                continue
-            low = stem.lower()
-            if low not in known:
-                spelt = low if low.isascii() else low.translate(self.spelling)
-                ids = [t.id for t in self.merge(spelt)]
-                self[low] = packed(f"<{len(ids)}I", *ids)
-            if w is not low:
-                self[w] = self[low] if stem is w else self[low] + self[w[-1]]
+            self.again = found
+        else:
+            self.again |= found
+        for w in new:
+            if w.isalpha() and (w.isascii() or max(w) <= "\xff"):
+                low = w.lower()
+                ids = [t.id for t in self.merge(low if low.isascii() else low.translate(self.spelling))]
+                self[w] = packed(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
@@ -77,13 +102,13 @@ def _words(path: str) -> _Words:
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """The ids of each whole text, four little-endian bytes an id."""
     held = _words(path)
-    parts = [t.replace("\n", " ").split(" ") for t in texts]
+    parts = [_pieces(t) for t in texts]
     held.learn(set().union(*parts))
     return [b"".join(map(held.__getitem__, p)) for p in parts]
 
 
 def _all_ids(texts: pa.Array, path: str, together: int = 1 << 19) -> Iterator[bytes]:
-    """The ids of each text, half a million letters at a time: all words of a group are held at once."""
+    """The ids of each text, half a million letters at a time: all pieces of a group are held at once."""
     held, weight = [], 0
     for t in texts:
         held.append(t.as_py() or "")

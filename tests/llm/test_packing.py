@@ -78,6 +78,44 @@ def test_tokens_are_the_tokenizers():
         assert np.frombuffer(got, "<u4").tolist() == held.encode(t, add_special_tokens=False).ids
 
 
+def test_pieces_are_cut_as_the_tokenizer_cuts():
+    held, rng = Tokenizer.from_file(PATH), random.Random(4)
+    every = [chr(i) for i in range(1, 256)]
+    some = [*"sSdmtT'’eELlVvr.,|<>% \n\t09²½éÉßµªÿ×\xa0\x85\x1cœΣ\u0301漢", "'s", "'LL", "<|", "|>", "<|endoftext|>", "word", "Élan", "  "]
+    texts = ["".join(rng.choices(every, k=60)) for _ in range(300)] + ["".join(rng.choices(some, k=25)) for _ in range(1500)]
+    texts += [f"a{x}b {x} 1{x}'s" for x in every] + ["\u0301", " \u0301x", "e\u0301 <|", "<|endoftext|> <|endoftext|>"]
+    for t, got in zip(texts, K.token_bytes(texts, PATH), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == held.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def counted(monkeypatch, held):
+    """What ``held`` gives to the tokenizer from now on."""
+    merge, encode, seen = held.merge, held.encode, Counter()
+    monkeypatch.setattr(held, "merge", lambda w: (seen.update([w]), merge(w))[1])
+    monkeypatch.setattr(held, "encode", lambda w, **k: (seen.update([w]), encode(w, **k))[1])
+    return seen
+
+
+def test_forms_of_a_word_are_learnt_once(monkeypatch):
+    K._words.cache_clear()
+    seen = counted(monkeypatch, K._words(PATH))
+    K.token_bytes(["Blorvane blorvane, BLORVANE; (blorvane) blorvane's", "blorvane.%%% <blorvane>\tblorvane"], PATH)
+    K._words.cache_clear()
+    assert seen["blorvane"] == 1 and not any("blorvane" in w.lower() for w in seen if w != "blorvane")
+
+
+def test_words_wanted_again_stay(monkeypatch):
+    monkeypatch.setattr(K, "CACHE_WORDS", 100)
+    held = K._Words(PATH)
+    seen = counted(monkeypatch, held)
+    letters = "bcdfghklmn"
+    words = [a + b + c + "ar" for a in letters for b in letters for c in letters]
+    for i in range(0, 600, 30):  # every third group makes others go; this one is in the two before it only
+        held.learn({*words[i : i + 30], *(["again"] if i // 30 % 3 else [])})
+        assert len(held) <= 100
+    assert seen["again"] == 1
+
+
 def test_documents_packed_whole(spark, monkeypatch):
     monkeypatch.setattr(K, "RANK_ROWS", 5)
     rows = [(i, "word " * (i * 53 % 700)) for i in range(120)] + [(900, None), (901, ""), (902, "long " * 5000), (3, "twice"), (3, "twice"), (None, "no id")]
